@@ -33,7 +33,9 @@ class SpikeRule:
     high: float = float("inf")
     stuck_run: int = 6
     heavy_tail: bool = False
-    levels: int = 4
+    levels: int = 6
+    #: A factor from the usual value of the hour beyond which a reading doesn't serve as surroundings of others.
+    outlying: float = 2.5
 
 
 SCALING = np.array([1, 4, 6, 4, 1]) / 16.0
@@ -99,17 +101,21 @@ def flag_source(t: np.ndarray, x: np.ndarray, other: np.ndarray, rule: SpikeRule
         sig_t, sig = t[keep], x[keep]
         level = np.median(np.abs(sig))
         unit = level if level > 0 else 1.0
-        y = np.clip(sig / unit, -20.0, 20.0)
+        y = sig / unit
         suspect = np.zeros(len(y), dtype=bool)
         for d in wavelet_details(y, rule.levels):
             suspect |= np.abs(d) > rule.threshold * max(robust_scale(d), 1e-9)
-        near = neighbour_median(sig, 5)
-        at = np.searchsorted(sig_t, t, side="right") - 1
-        at = np.clip(at, 0, len(sig) - 1)
-        around = near[at]
-        usual = hour_median((sig_t // 3600) % 24, sig)[at]
+        at = np.clip(np.searchsorted(sig_t, t, side="right") - 1, 0, len(sig) - 1)
+        by_hour = hour_median((sig_t // 3600) % 24, sig)
+        usual = by_hour[at]
+        # whole stretches can be off, so what lies far from the usual is no surroundings for others
+        calm = (sig > by_hour / rule.outlying) & (sig < by_hour * rule.outlying)
+        calm = calm if calm.sum() >= 5 else np.ones(len(sig), dtype=bool)
+        calm_t, calm_x = sig_t[calm], sig[calm]
+        near = neighbour_median(calm_x, 5)
+        around = near[np.clip(np.searchsorted(calm_t, t, side="right") - 1, 0, len(near) - 1)]
         # a repeated delivery is held against the same surroundings as the first
-        spread = rule.threshold * robust_scale((sig - near) / np.where(np.abs(near) > 0, np.abs(near), unit))
+        spread = rule.threshold * robust_scale((calm_x - near) / np.where(np.abs(near) > 0, np.abs(near), unit))
         far_from = lambda base: (x > base * max(rule.least_ratio, 1 + spread)) | (x < base / max(rule.least_ratio, 1 + spread))
         again = ~first & good & (x != sig[at])
         if rule.heavy_tail:
