@@ -62,6 +62,15 @@ def tile(pattern_at: np.ndarray, text_at: np.ndarray, k: int, least: int) -> lis
     return tiles
 
 
+def word_weights(passages: DataFrame) -> DataFrame:
+    """(item, field, weights): for each position of a passage, how well its word tells the items apart."""
+    at = passages.select("item", "field", F.posexplode("w").alias("i", "word"))
+    having = at.groupBy("word").agg(F.count_distinct("item").alias("having"))
+    total = passages.agg(F.count_distinct("item").alias("items")).first()["items"]
+    weighed = at.join(having, "word").withColumn("weight", F.log(F.lit(float(total) + 1.0) / F.col("having")))
+    return weighed.groupBy("item", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "weight"))), lambda x: x["weight"]).alias("weights"))
+
+
 def leaked_items(
     corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, fields: dict[str, float | None],
     k: int = 3, run: int = 12, reach: float = 2.0, broadcast_rows: int = 2_000_000,
@@ -70,7 +79,8 @@ def leaked_items(
 
     A document gives an item away if a tile of ``run`` successive words of a field lies in it, or if tiles of ``k`` or more
     words, close to each other, cover the share ``fields[field]`` of the field (null: no such rule for that field). Tiles
-    may come in any order, so reordered passages count.
+    may come in any order, so reordered passages count. In that share a word weighs as it tells the items apart: the log
+    of items to items that have it, so wording that many items have in common doesn't make a passage.
 
     The items are the query side: their seeds are broadcast if they are ``broadcast_rows`` at most, else joined by a
     shuffle. The corpus' seeds are hashed where they are read; only the seeds found in an item are kept and grouped, by
@@ -83,6 +93,7 @@ def leaked_items(
     for p in parts[1:]:
         passages = passages.unionByName(p)
     passages = passages.where("passage is not null").withColumn("w", words_of(F.col("passage"))).withColumn("words", F.size("w"))
+    weights = word_weights(passages)
     patterns = passages.select("item", "field", "words", F.posexplode(rolling_seeds(F.col("w"), k)).alias("pattern_at", "seed"))
     if patterns.count() <= broadcast_rows:
         patterns = F.broadcast(patterns)
@@ -96,28 +107,31 @@ def leaked_items(
     )
     shares = {f: (2.0 if s is None else s) for f, s in fields.items()}
 
-    @F.pandas_udf("longest int, covered int")
-    def tiled(pattern_at: pd.Series, text_at: pd.Series, words: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("longest int, covered double")
+    def tiled(pattern_at: pd.Series, text_at: pd.Series, weights: pd.Series) -> pd.DataFrame:
         out = []
-        for p, t, n in zip(pattern_at, text_at, words, strict=True):
+        for p, t, w in zip(pattern_at, text_at, weights, strict=True):
             found = tile(np.asarray(p), np.asarray(t), k, k)
             longest = max((x[2] for x in found), default=0)
+            upto = np.r_[0.0, np.cumsum(w)]
             # of tiles that lie together only: the best stretch of the document, not much longer than the passage
             found.sort(key=lambda x: x[1])
-            best, lo, total = 0, 0, 0
-            for _, at, length in found:
-                total += length
-                while at + length - found[lo][1] > reach * n:
-                    total -= found[lo][2]
+            gain = [upto[i + n] - upto[i] for i, _, n in found]
+            best, lo, total = 0.0, 0, 0.0
+            for (_, at, length), g in zip(found, gain, strict=True):
+                total += g
+                while at + length - found[lo][1] > reach * len(w):
+                    total -= gain[lo]
                     lo += 1
                 best = max(best, total)
-            out.append((longest, best))
+            out.append((longest, best / max(upto[-1], 1e-9)))
         return pd.DataFrame(out, columns=["longest", "covered"])
 
     least = F.lit(2.0)
     for f, s in shares.items():
         least = F.when(F.col("field") == f, F.lit(s)).otherwise(least)
-    scored = pairs.withColumn("t", tiled("pattern_at", "text_at", "words")).select("doc", "item", "field", "t.longest", "t.covered", "words")
-    return scored.where((F.col("longest") >= run) | (F.col("covered") >= least * F.col("words"))).select(
+    weighed = pairs.join(weights, ["item", "field"])
+    scored = weighed.withColumn("t", tiled("pattern_at", "text_at", "weights")).select("doc", "item", "field", "t.longest", "t.covered", "words")
+    return scored.where((F.col("longest") >= run) | (F.col("covered") >= least)).select(
         F.col("doc").cast(doc_type).alias(doc_id), F.col("item").cast(item_type).alias(item_id), "field", "longest", "covered", "words"
     )

@@ -158,3 +158,31 @@ def pair_defects(
         return found
 
     return rows.mapInPandas(classify, f"`{id_col}` {types[id_col]}, source {types[source]}, defect string")
+
+
+def truncated_answers(df: DataFrame, id_col: str, question: str, answer: str, source: str, endings: EndingModel) -> DataFrame:
+    """(id, source, truncated, at_limit) of every answer.
+
+    ``at_limit``: the length's hazard in its source is significantly above that of the neighbouring lengths, with most of
+    the answers of that length in excess; there an ending counts as incomplete more readily. Answers that are empty, refuse
+    or copy the question aren't truncated. Null answers aren't either; repeated rows each get a row; an empty table gives
+    none; extra columns are ignored.
+    """
+    rows = df.select(F.col(id_col), F.col(source).alias("source"), F.col(question).alias("question"), F.col(answer).alias("answer"), F.length(answer).cast("long").alias("length"))
+    limits = length_hazards(rows, "source", "length").where("significant").select(F.coalesce("source", F.lit("")).alias("s"), F.col("length").alias("l"), "excess")
+    rows = rows.join(limits, (F.coalesce("source", F.lit("")) == F.col("s")) & (F.col("length") == F.col("l")), "left").drop("s", "l", "length")
+    types = dict(df.dtypes)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 5000):
+                part = pdf.iloc[i : i + 5000]
+                answers = part["answer"].fillna("").tolist()
+                excess = part["excess"].fillna(0.0).to_numpy()
+                cut = incomplete_endings(answers, excess, endings)
+                for j in np.flatnonzero(cut):
+                    q, a = part["question"].iloc[j], answers[j]
+                    cut[j] = not (is_empty(a) or (q and is_copy(WORD.findall(q.casefold()), WORD.findall(a.casefold()))) or is_refusal(a))
+                yield part[[id_col, "source"]].assign(truncated=cut, at_limit=excess > 0.5)
+
+    return rows.mapInPandas(judge, f"`{id_col}` {types[id_col]}, source {types[source]}, truncated boolean, at_limit boolean")
