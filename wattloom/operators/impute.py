@@ -24,7 +24,8 @@ class Dependency:
     """A candidate: ``keys`` (name -> expression; null where the record can't be a determinant) determine ``targets``.
 
     In the groups of one determinant value the middle nine tenths of a target may spread by ``tolerance`` of the median,
-    or by ``absolute``, at most.
+    or by ``absolute``, at most; where ``whole`` is set, that goes for all of the group, and its mean is the value, which
+    costs far less in groups of a few records.
     """
 
     name: str
@@ -35,6 +36,7 @@ class Dependency:
     support: int = 3
     #: Least share of a partition's records (of groups with support) in groups that hold.
     confidence: float = 0.7
+    whole: bool = False
 
 
 def missing(column: str, meters: Mapping[str, tuple[float, float] | None] = METERS) -> Column:
@@ -51,24 +53,30 @@ def cleaned(column: str, meters: Mapping[str, tuple[float, float] | None] = METE
     return F.when(~missing(column, meters), F.col(column))
 
 
-def mined(records: DataFrame, dep: Dependency, partition: str, targets: Sequence[str]) -> DataFrame:
-    """The dictionary of a dependency: its keys and, for each target, the value that they determine, null if unverified.
+def mined(records: DataFrame, dep: Dependency, partition: str, targets: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The dictionary of a dependency, and the verdict on it for each partition.
 
-    A determinant value is verified if its own group holds, and its dependency if it holds for enough of the partition's
-    records.
+    The dictionary has the keys and, for each target, the value that they determine, null where the group doesn't hold.
+    The verdict says whether the dependency holds for enough of the partition's records. They are kept apart so that a
+    dictionary, which can be as large as the table, is shuffled once, by its keys.
     """
     keyed = records.select(*[F.col(t) for t in targets], *[e.alias(f"k_{k}") for k, e in dep.keys.items()])
     keys = [f"k_{k}" for k in dep.keys]
-    keyed = keyed.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    stats = [F.percentile_approx(t, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 200).alias(f"q_{t}") for t in targets]
+    keyed = keyed.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, *(targets if len(targets) == 1 else ())]]))
+    if dep.whole:
+        stats = [x for t in targets for x in (F.min(t).alias(f"a_{t}"), F.avg(t).alias(f"m_{t}"), F.max(t).alias(f"b_{t}"))]
+        q = lambda t, i: F.col(f"{'amb'[i]}_{t}")
+    else:
+        stats = [F.percentile_approx(t, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 200).alias(f"q_{t}") for t in targets]
+        q = lambda t, i: F.element_at(f"q_{t}", i + 1)
     groups = keyed.groupBy(*keys).agg(*stats, *[F.count(t).alias(f"n_{t}") for t in targets])
-    q = lambda t, i: F.element_at(f"q_{t}", i)
-    holds = {t: (q(t, 3) - q(t, 1)) <= F.greatest(F.abs(q(t, 2)) * dep.tolerance, F.lit(dep.absolute)) for t in targets}
-    groups = groups.withColumns({f"h_{t}": F.coalesce(holds[t] & (F.col(f"n_{t}") >= dep.support), F.lit(False)) for t in targets})
-    p = f"k_{partition}"
+    holds = {t: (q(t, 2) - q(t, 0)) <= F.greatest(F.abs(q(t, 1)) * dep.tolerance, F.lit(dep.absolute)) for t in targets}
+    good = {t: F.coalesce(holds[t] & (F.col(f"n_{t}") >= dep.support), F.lit(False)) for t in targets}
     enough = {t: F.sum(F.when(F.col(f"n_{t}") >= dep.support, F.col(f"n_{t}"))) for t in targets}
-    verdict = groups.groupBy(p).agg(*[(F.sum(F.when(F.col(f"h_{t}"), F.col(f"n_{t}")).otherwise(0)) / enough[t] >= dep.confidence).alias(f"ok_{t}") for t in targets])
-    return groups.join(verdict, p).select(*keys, *[F.when(F.col(f"h_{t}") & F.col(f"ok_{t}"), q(t, 2)).alias(f"fd_{dep.name}_{t}") for t in targets])
+    verdict = groups.groupBy(F.col(f"k_{partition}").alias("v_partition")).agg(
+        *[(F.sum(F.when(good[t], F.col(f"n_{t}")).otherwise(0)) / enough[t] >= dep.confidence).alias(f"ok_{dep.name}_{t}") for t in targets]
+    )
+    return groups.select(*keys, *[F.when(good[t], q(t, 1)).alias(f"d_{dep.name}_{t}") for t in targets]), verdict
 
 
 def household_dependencies(entity: str, ts: str) -> list[Dependency]:
@@ -76,7 +84,7 @@ def household_dependencies(entity: str, ts: str) -> list[Dependency]:
     house = F.col(entity)
     some = lambda c: F.when(F.col(c) > 0, F.col(c))
     return [
-        Dependency("delivery", {entity: house, "at": F.col(ts)}, ("global_active_power", "sub_metering_1", "global_intensity"), tolerance=0.02, support=1),
+        Dependency("delivery", {entity: house, "at": F.col(ts)}, ("global_active_power", "sub_metering_1", "global_intensity"), tolerance=0.02, support=1, whole=True),
         Dependency("intensity", {entity: house, "amps": F.round(some("global_intensity"), 1)}, ("global_active_power",), confidence=0.5),
         Dependency("power", {entity: house, "log_power": F.round(F.log(some("global_active_power")) * 25)}, ("global_intensity",), confidence=0.5),
         Dependency(
@@ -115,8 +123,10 @@ def filled_readings(
     todo = clean.where(lacks).withColumn("slot", slot)
     for dep in deps:
         wanted = [t for t in dep.targets if t in names]
-        book = mined(clean, dep, entity, wanted)
+        book, verdict = mined(clean, dep, entity, wanted)
         todo = todo.withColumns({f"k_{k}": e for k, e in dep.keys.items()}).join(book, [f"k_{k}" for k in dep.keys], "left").drop(*[f"k_{k}" for k in dep.keys])
+        todo = todo.join(verdict, todo[entity] == F.col("v_partition"), "left").drop("v_partition")
+        todo = todo.withColumns({f"fd_{dep.name}_{t}": F.when(F.col(f"ok_{dep.name}_{t}"), F.col(f"d_{dep.name}_{t}")) for t in wanted})
     by_slot = (
         clean.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
         .withColumn("slot", slot)
