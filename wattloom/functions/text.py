@@ -32,7 +32,7 @@ def word_count(c: Column | str) -> Column:
 
 def sentences(c: Column | str, min_words: int = 0, min_chars: int = 0) -> Column:
     """Sentences that end in . ! or ?; those with fewer words or signs are left out."""
-    parts = F.transform(F.split(F.trim(clean_text(c)), r"(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(F.trim(clean_text(c)), r"(?<=[.!?])\s+"), lambda x: F.trim(x))
     return F.filter(parts, lambda s: (s != "") & (F.length(s) > min_chars) & (F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= min_words))
 
 
@@ -112,7 +112,7 @@ def reply_field(c: Column | str, name: str) -> Column:
 
 def chunks(c: Column | str) -> Column:
     """Non-empty paragraphs."""
-    return F.filter(F.transform(F.split(clean_text(c), "\n\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(clean_text(c), "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def key_values(c: Column | str) -> Column:

@@ -22,7 +22,7 @@ def experiment_aggregate(results: DataFrame, keys: Sequence[str], means: Sequenc
     value = lambda c: F.when(ok, null_if_nan(F.col(c).cast("double")))
     return results.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum(F.when(ok, 0).otherwise(1)).alias("n_errors"),
-        *[F.round(F.avg(value(c)), 4).alias(f"avg_{c}") for c in means],
+        *[F.round(F.avg(value(c)) + 1e-9, 4).alias(f"avg_{c}") for c in means],
         *[F.round(F.sum(F.when(ok, F.coalesce(value(c), F.lit(0.0)))) / F.sum(F.when(ok, 1)), 4).alias(f"rate_{c}") for c in rates],
         F.round(F.avg(value(latency)), 4).alias("avg_latency"),
     )

@@ -30,25 +30,36 @@ def dot_scorer(queries: list) -> Callable[[list], np.ndarray]:
 
 
 def overlap_scorer(queries: list) -> Callable[[list], np.ndarray]:
-    """Share of a query's distinct words that a document has."""
-    sets = [set(x) for x in queries]
-    holders: dict[str, list[int]] = {}
-    for i, s in enumerate(sets):
-        for w in s:
-            holders.setdefault(w, []).append(i)
-    at = {w: np.array(x) for w, x in holders.items()}
-    sizes = np.array([max(len(s), 1) for s in sets], dtype=np.float64)
+    """Share of a query's distinct words that a document has. A payload is its marker, then words; different markers give -1."""
+    asked = [(x[0], set(x[1:])) for x in queries]
+    holders: dict[str, dict[str, list[int]]] = {}
+    members: dict[str, list[int]] = {}
+    for i, (marker, words) in enumerate(asked):
+        members.setdefault(marker, []).append(i)
+        for w in words:
+            holders.setdefault(marker, {}).setdefault(w, []).append(i)
+    sizes = np.array([max(len(s), 1) for _, s in asked], dtype=np.float64)
 
     def score(batch: list) -> np.ndarray:
-        out = np.zeros((len(sets), len(batch)))
-        for j, words in enumerate(batch):
+        out = np.full((len(asked), len(batch)), -1.0)
+        for j, (marker, *words) in enumerate(batch):
+            if marker not in members:
+                continue
+            out[members[marker], j] = 0
+            at = holders.get(marker, {})
             for w in set(words) & at.keys():
                 out[at[w], j] += 1
-        return out / sizes[:, None]
+        return np.where(out >= 0, out / sizes[:, None], -1.0)
 
     return score
 
 
+def marked_words(text: Column | str, *marks: Column) -> Column:
+    """Payload of the overlap scorer: what has to agree, then the distinct words."""
+    marker = F.concat_ws("|", *[F.coalesce(m, F.lit("")) for m in marks]) if marks else F.lit("")
+    return F.concat(F.array(marker), F.array_distinct(tx.tokens(text)))
+
+
 def block_topk(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, digits: int = 9) -> DataFrame:
     """(query_id, row_id, score, rank): the k best rows of the corpus for each query.
 
@@ -105,8 +116,10 @@ def letter_vector(text: Column | str) -> Column:
     """Deterministic stand-in for an embedding: the unit vector of a text's letter counts; null for a text without."""
     low = F.lower(tx.clean_text(text))
     counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm))
+    # counts and norm are bound to names here, so that each is worked out once
+    bound = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    unit = F.transform(bound, lambda b: F.when(b["n"] > 0, F.transform(b["c"], lambda x: x / b["n"])))
+    return F.element_at(unit, 1)
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -163,20 +176,18 @@ def with_parents(children: DataFrame, docs: DataFrame, parent_of: dict[str, str]
     exact = kids.join(known, kids["parent_id"] == known["found_id"], "left")
     up = reduce(lambda done, x: F.when(F.col("granularity") == x[0], F.lit(x[1])).otherwise(done), parent_of.items(), F.lit(None).cast("string"))
     orphans = exact.where("found_id is null").select("row_id", "dataset", "text", up.alias("up")).where("up is not null").dropDuplicates(["row_id"])
-    fallback = None
-    for level in sorted(set(parent_of.values())):
-        mine = orphans.where(F.col("up") == level)
-        same = facts.where(F.col("granularity") == level)
-        for dataset in [r["dataset"] for r in mine.select("dataset").distinct().collect()]:
-            own = same.where(F.col("dataset").eqNullSafe(F.lit(dataset)))
-            pool = own if own.limit(1).count() else same
-            q = mine.where(F.col("dataset").eqNullSafe(F.lit(dataset))).select(F.col("row_id").alias("query_id"), F.array_distinct(tx.tokens("text")).alias("payload"))
-            top = block_topk(q, pool.select("row_id", F.array_distinct(tx.tokens("text")).alias("payload")), overlap_scorer, 1)
-            top = top.select(F.col("query_id").alias("row_id"), F.col("row_id").alias("near_id"))
-            fallback = top if fallback is None else fallback.unionByName(top)
-    linked = exact if fallback is None else exact.join(fallback, "row_id", "left")
-    near = F.lit(None).cast("string") if fallback is None else F.col("near_id")
-    parents = linked.select("query_id", "rank", F.coalesce("found_id", near).alias("row_id"), F.when(F.col("found_id").isNotNull(), "exact").otherwise("semantic").alias("parent_resolution")).where("row_id is not null")
+    level = facts.where(F.col("granularity").isin(*parent_of.values()))
+
+    def nearest(rows: DataFrame, *marks: str) -> DataFrame:
+        q = rows.select(F.col("row_id").alias("query_id"), marked_words("text", F.col("up"), *[F.col(m) for m in marks]).alias("payload"))
+        pool = level.select("row_id", marked_words("text", F.col("granularity"), *[F.col(m) for m in marks]).alias("payload"))
+        top = block_topk(q, pool, overlap_scorer, 1).where("score >= 0")
+        return top.select(F.col("query_id").alias("row_id"), F.col("row_id").alias("near_id"))
+
+    own = nearest(orphans, "dataset")
+    alike = own.unionByName(nearest(orphans.join(own.select("row_id"), "row_id", "left_anti")))
+    linked = exact.join(alike, "row_id", "left")
+    parents = linked.select("query_id", "rank", F.coalesce("found_id", "near_id").alias("row_id"), F.when(F.col("found_id").isNotNull(), "exact").otherwise("semantic").alias("parent_resolution")).where("row_id is not null")
     parents = parents.join(children.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti")
     first = Window.partitionBy("query_id", "row_id").orderBy("rank")
     parents = parents.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at")

@@ -12,6 +12,7 @@ from wattloom.operators import temporal as tp
 from wattloom.operators.models import similarity_ratio
 from wattloom.plans import temporal_queries as tq
 from wattloom.plans.temporal_queries import days
+from wattloom.session import checkpointed
 from wattloom.sources.tables import table
 
 K, POOL = 5, 20
@@ -138,16 +139,16 @@ def variant_union(spark, sf_dir):
 
 def hierarchical(spark, sf_dir):
     """Dense search over the knowledge base, with parents by id or by shared words."""
-    kb = dc.enriched(knowledge_base(spark, sf_dir), ABOUT).select("row_id", "dataset", "granularity", "parent_id", "text")
+    kb = checkpointed(dc.enriched(knowledge_base(spark, sf_dir), ABOUT).select("row_id", "dataset", "granularity", "parent_id", "text"))
     q = questions_of(spark, sf_dir).select("query_id", rt.letter_vector("text").alias("payload"))
-    children = rt.block_topk(q, kb.select("row_id", rt.letter_vector("text").alias("payload")), rt.dot_scorer, K)
+    children = checkpointed(rt.block_topk(q, kb.select("row_id", rt.letter_vector("text").alias("payload")), rt.dot_scorer, K))
     return rt.with_parents(children, kb, dc.PARENT)
 
 
 def overlap_parent(spark, sf_dir):
     """For every hundredth document, the document of another source kind that shares most of its words."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    words = lambda d: d.select("doc_id", F.array_distinct(tx.tokens("text")).alias("payload")).where(F.size("payload") > 0)
+    words = lambda d: d.select("doc_id", rt.marked_words("text").alias("payload")).where(F.size("payload") > 1)
     q = words(docs.where("doc_id % 100 = 0 and granularity is not null")).withColumnRenamed("doc_id", "query_id")
     out = rt.block_topk(q, words(docs.where("granularity is null")).withColumnRenamed("doc_id", "row_id"), rt.overlap_scorer, 1)
     return out.select("query_id", "row_id", F.round("score", 6).alias("score"))
