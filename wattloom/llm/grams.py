@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 
 PAD = "\x02"
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -17,24 +17,32 @@ def batch_codes(texts: Sequence[str], pad: int) -> tuple[np.ndarray, np.ndarray]
     An end is the index behind a text's last code point; an empty text ends right behind its pad.
     """
     joined = (PAD * pad).join(["", *texts])
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     digit = (codes >= 48) & (codes <= 57)
-    codes = np.where(digit, np.uint64(48), codes)
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = ~(digit[1:] & digit[:-1])
-    ends = np.cumsum(lengths + pad)
-    return codes[keep], np.r_[0, np.cumsum(keep)][ends]
-
-
-def rolling_hash(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Bucket of the n-gram that ends at each code point, the first ``order`` - 1 of a batch included."""
-    h = np.full(len(codes), np.uint64(order * 0x100000001B3))
-    with np.errstate(over="ignore"):
-        for j in range(order - 1, -1, -1):
-            shifted = np.zeros(len(codes), dtype=np.uint64)
-            shifted[j:] = codes[: len(codes) - j]
-            h = (h ^ shifted) * _PRIME
-            h ^= h >> np.uint64(29)
-        h *= _MIX
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    codes = np.where(digit, np.uint32(48), codes)[keep]
+    return codes, np.r_[0, np.cumsum(keep)][np.cumsum(lengths + pad)]
+
+
+def _joined(left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the gram that ends at each place, from that of its last ``length`` signs (right) and that of the rest (left)."""
+    out = right * _MULTIPLY
+    out[length:] += left[: len(left) - length]
+    out ^= out >> np.uint64(29)
+    out *= _MIX
+    return out
+
+
+def rolling_hashes(codes: np.ndarray, orders: Sequence[int], bits: int) -> list[np.ndarray]:
+    """For each order the bucket of the n-gram that ends at each code point, built up from grams of half the length."""
+    known: dict[int, np.ndarray] = {1: (codes.astype(np.uint64) + np.uint64(1)) * _MIX}
+
+    def of(n: int) -> np.ndarray:
+        if n not in known:
+            last = 1 << ((n - 1).bit_length() - 1)
+            known[n] = _joined(of(n - last), of(last), last)
+        return known[n]
+
+    return [(of(n) * _MULTIPLY >> np.uint64(64 - bits)).astype(np.int64) for n in orders]

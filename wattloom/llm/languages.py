@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -10,14 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.llm.grams import batch_codes, rolling_hash
+from wattloom.llm.grams import batch_codes, rolling_hashes
 
 LANGUAGES = ("de", "en", "es", "fr")
-ORDERS, BITS = (1, 2, 3, 4), 16
+ORDERS, BITS = (1, 2, 3), 16
+NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 def _letters(texts: Sequence[str]) -> list[str]:
-    return [" ".join("".join(c if c.isalpha() else " " for c in t.casefold()).split()) for t in texts]
+    return [NO_LETTER.sub(" ", t.casefold()).strip() for t in texts]
 
 
 @dataclass
@@ -30,12 +32,13 @@ class LanguageModel:
         """(texts, languages); 0 for a text without letters. Even priors make differences the log posterior odds."""
         texts = [f" {t} " if t else "" for t in _letters(texts)]
         codes, ends = batch_codes(texts, max(ORDERS))
+        outside = codes == 2
+        starts = np.r_[0, ends[:-1]]
         out = np.zeros((len(texts), len(self.languages)))
-        inside = codes != 2
-        for i, order in enumerate(ORDERS):
-            score = self.log_p[i][rolling_hash(codes, order, BITS)] * inside[:, None]
-            total = np.vstack([np.zeros((1, score.shape[1])), np.cumsum(score, axis=0, dtype=np.float64)])
-            out += total[ends] - total[np.r_[0, ends[:-1]]]
+        for table, h in zip(self.log_p, rolling_hashes(codes, ORDERS, BITS), strict=True):
+            score = table[h]
+            score[outside] = 0
+            out += np.add.reduceat(score, starts, axis=0)
         return out / len(ORDERS)
 
 
@@ -61,8 +64,8 @@ def train_languages(labelled: DataFrame, text: str, lang: str, key: str, per_lan
             for lang_, part in pdf.groupby("lang"):
                 codes, _ = batch_codes([f" {t} " for t in _letters(part["text"].tolist())], max(ORDERS))
                 inside = codes != 2
-                for i, n in enumerate(ORDERS):
-                    totals[LANGUAGES.index(lang_), i << BITS : (i + 1) << BITS] += np.bincount(rolling_hash(codes, n, BITS)[inside], minlength=1 << BITS)
+                for i, h in enumerate(rolling_hashes(codes, ORDERS, BITS)):
+                    totals[LANGUAGES.index(lang_), i << BITS : (i + 1) << BITS] += np.bincount(h[inside], minlength=1 << BITS)
         at = np.nonzero(totals)
         yield pd.DataFrame({"lang": np.array(LANGUAGES)[at[0]], "bucket": at[1], "n": totals[at].astype("int64")})
 

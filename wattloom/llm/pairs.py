@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm.languages import LanguageModel
-from wattloom.llm.truncation import EndingModel, bare, incomplete_endings, length_hazards
+from wattloom.llm.truncation import EndingModel, bare, incomplete_endings, with_excess
 
 EMPTY, TRUNCATED, REFUSAL, COPY, OTHER_LANGUAGE = "empty", "truncated", "refusal", "copy", "other_language"
 
@@ -117,8 +117,7 @@ def pair_defects(
     none. One pass over the pairs, no shuffle but that of the lengths; extra columns are ignored.
     """
     rows = df.select(F.col(id_col), F.col(source).alias("source"), F.col(question).alias("question"), F.col(answer).alias("answer"), F.length(answer).cast("long").alias("length"))
-    limits = length_hazards(rows, "source", "length").where("significant").select(F.coalesce("source", F.lit("")).alias("s"), F.col("length").alias("l"), "excess")
-    rows = rows.join(limits, (F.coalesce("source", F.lit("")) == F.col("s")) & (F.col("length") == F.col("l")), "left").drop("s", "l", "length")
+    rows = with_excess(rows, "source", "length").drop("length")
     types = dict(df.dtypes)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,9 +145,11 @@ def pair_defects(
         texts = [answers[i] for i in rest]
         cut = incomplete_endings(texts, excess[rest], endings)
         likely = languages.log_likelihood([QUOTED.sub(" ", bare(t)) for t in texts])
-        asked = languages.log_likelihood([questions[i] or "" for i in rest])
+        several, of = np.unique([questions[i] or "" for i in rest], return_inverse=True)
+        asked = languages.log_likelihood(several.tolist())[of]
         own = asked.argmax(axis=1)
-        sure = np.sort(asked, axis=1)[:, -1] - np.sort(asked, axis=1)[:, -2] > 2.0
+        ordered = np.sort(asked, axis=1)
+        sure = ordered[:, -1] - ordered[:, -2] > 2.0
         odds = likely.max(axis=1) - likely[np.arange(len(rest)), own]
         for j, i in enumerate(rest):
             if cut[j]:
@@ -169,8 +170,7 @@ def truncated_answers(df: DataFrame, id_col: str, question: str, answer: str, so
     none; extra columns are ignored.
     """
     rows = df.select(F.col(id_col), F.col(source).alias("source"), F.col(question).alias("question"), F.col(answer).alias("answer"), F.length(answer).cast("long").alias("length"))
-    limits = length_hazards(rows, "source", "length").where("significant").select(F.coalesce("source", F.lit("")).alias("s"), F.col("length").alias("l"), "excess")
-    rows = rows.join(limits, (F.coalesce("source", F.lit("")) == F.col("s")) & (F.col("length") == F.col("l")), "left").drop("s", "l", "length")
+    rows = with_excess(rows, "source", "length").drop("length")
     types = dict(df.dtypes)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

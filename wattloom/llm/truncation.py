@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.llm.grams import batch_codes, rolling_hash
+from wattloom.llm.grams import batch_codes, rolling_hashes
+from wattloom.session import checkpointed
 
-ORDERS, BITS = (12, 8, 5), 18
+#: Tables of contexts: the whole of a text up to that many signs, else its last 8 or 5.
+WHOLE, ORDERS, BITS = 12, (12, 8, 5), 18
 
 CITATIONS = re.compile(r"(?:\s*\[[A-Z]\d+\])+\s*$")
 CUT_MARK = re.compile(r"(?:\.\.\.|…|[\[(<]\s*(?:cut|truncated|trunc|snip|more|continued)\.?\s*[\])>])\s*$", re.I)
@@ -52,14 +54,31 @@ def length_hazards(df: DataFrame, source: str, length: str, reach: int = 20, fdr
     )
 
 
+def with_excess(rows: DataFrame, source: str, length: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """Rows with the ``excess`` of their length in their source, null where it isn't significant.
+
+    The significant lengths of all sources are counted first: ``broadcast_rows`` or fewer are sent to all tasks, and the
+    texts then aren't shuffled; more are joined by source and length.
+    """
+    limits = length_hazards(rows, source, length).where("significant").select(F.coalesce("source", F.lit("")).alias("s"), F.col("length").alias("l"), "excess")
+    limits = checkpointed(limits)
+    if limits.count() <= broadcast_rows:
+        limits = F.broadcast(limits)
+    return rows.join(limits, (F.coalesce(source, F.lit("")) == F.col("s")) & (F.col(length) == F.col("l")), "left").drop("s", "l")
+
+
 def bare(text: str) -> str:
     """Without the space and the citation tags behind the last sentence."""
-    return CITATIONS.sub("", text.rstrip())
+    text = text.rstrip()
+    return CITATIONS.sub("", text) if text.endswith("]") else text
 
 
 @dataclass
 class EndingModel:
-    """Of each hashed context (the last signs before a position): how often it occurs, and how often a text ends there."""
+    """Of each hashed context (the last signs before a position): how often it occurs, and how often a text ends there.
+
+    The first table holds beginnings of texts only, which tells short but complete texts from cut ones.
+    """
 
     seen: np.ndarray
     ends: np.ndarray
@@ -67,12 +86,14 @@ class EndingModel:
     def end_probability(self, texts: Sequence[str], support: int = 4) -> np.ndarray:
         """Share of the occurrences of a text's last context at which a text (or line) ends, without this one itself."""
         codes, ends = batch_codes(texts, max(ORDERS))
+        short = np.diff(np.r_[0, ends]) - max(ORDERS) <= WHOLE
         out = np.full(len(texts), np.nan)
         last = np.maximum(ends - 1, 0)
-        for i, order in enumerate(ORDERS):
-            at = (i << BITS) + rolling_hash(codes, order, BITS)[last]
+        for i, (order, h) in enumerate(zip(ORDERS, rolling_hashes(codes, ORDERS, BITS), strict=True)):
+            at = (i << BITS) + h[last]
             n, e = self.seen[at] - 1, self.ends[at] - 1
-            open_ = np.isnan(out) & ((n >= support) | (order == ORDERS[-1]))
+            enough = (n >= 1) & short if i == 0 else (n >= support) | (order == ORDERS[-1])
+            open_ = np.isnan(out) & enough
             out[open_] = np.where(n[open_] > 0, np.maximum(e[open_], 0) / np.maximum(n[open_], 1), 0.0)
         return out
 
@@ -92,10 +113,15 @@ def train_endings(df: DataFrame, text: str) -> EndingModel:
                 stop[ends[ends > 0] - 1] = True
                 stop[:-1] |= codes[1:] == 10
                 stop &= inside
-                for j, order in enumerate(ORDERS):
-                    h = rolling_hash(codes, order, BITS)
-                    seen[j << BITS : (j + 1) << BITS] += np.bincount(h[inside], minlength=1 << BITS)
-                    ends_[j << BITS : (j + 1) << BITS] += np.bincount(h[stop], minlength=1 << BITS)
+                start = np.r_[0, ends[:-1]] + max(ORDERS)
+                begins = np.zeros(len(codes) + WHOLE + 1, dtype=np.int64)
+                np.add.at(begins, start, 1)
+                np.add.at(begins, np.minimum(start + WHOLE, ends), -1)
+                begins = np.cumsum(begins[: len(codes)]) > 0
+                for j, h in enumerate(rolling_hashes(codes, ORDERS, BITS)):
+                    here, over = (inside & begins, stop & begins) if j == 0 else (inside, stop)
+                    seen[j << BITS : (j + 1) << BITS] += np.bincount(h[here], minlength=1 << BITS)
+                    ends_[j << BITS : (j + 1) << BITS] += np.bincount(h[over], minlength=1 << BITS)
         at = np.nonzero(seen)[0]
         yield pd.DataFrame({"bucket": at, "seen": seen[at], "ends": ends_[at]})
 
@@ -110,11 +136,12 @@ def train_endings(df: DataFrame, text: str) -> EndingModel:
     return model
 
 
-def incomplete_endings(texts: Sequence[str], excess: np.ndarray, model: EndingModel, rare: float = 0.05, lenient: float = 0.3) -> np.ndarray:
+def incomplete_endings(texts: Sequence[str], excess: np.ndarray, model: EndingModel, rare: float = 0.05, lenient: float = 0.15) -> np.ndarray:
     """Whether each text stops inside a word or sentence.
 
     A mark of the cut decides at once, and so does closed punctuation. Any other ending is incomplete if texts rarely end
-    in that context: below ``rare`` in general, below ``lenient`` at lengths where most texts were cut (``excess``).
+    in that context: below ``rare`` in general, below ``lenient`` at lengths where most texts were cut (``excess``), short
+    lengths apart, which values like names and numbers have in common.
     """
     shorn = [bare(t) for t in texts]
     out = np.zeros(len(texts), dtype=bool)
@@ -128,5 +155,5 @@ def incomplete_endings(texts: Sequence[str], excess: np.ndarray, model: EndingMo
             ask.append(i)
     if ask:
         p = model.end_probability([shorn[i] for i in ask])
-        out[ask] = p < np.where(excess[ask] > 0.5, lenient, rare)
+        out[ask] = p < np.where((excess[ask] > 0.5) & (np.array([len(shorn[i]) for i in ask]) > WHOLE), lenient, rare)
     return out
