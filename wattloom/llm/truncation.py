@@ -92,9 +92,10 @@ class EndingModel:
         for i, (order, h) in enumerate(zip(ORDERS, rolling_hashes(codes, ORDERS, BITS), strict=True)):
             at = (i << BITS) + h[last]
             n, e = self.seen[at] - 1, self.ends[at] - 1
-            enough = (n >= 1) & short if i == 0 else (n >= support) | (order == ORDERS[-1])
+            # a short text that no other begins with is a value of its own rather than the start of a sentence
+            enough, unseen = (short, 1.0) if i == 0 else ((n >= support) | (order == ORDERS[-1]), 0.0)
             open_ = np.isnan(out) & enough
-            out[open_] = np.where(n[open_] > 0, np.maximum(e[open_], 0) / np.maximum(n[open_], 1), 0.0)
+            out[open_] = np.where(n[open_] > 0, np.maximum(e[open_], 0) / np.maximum(n[open_], 1), unseen)
         return out
 
 
