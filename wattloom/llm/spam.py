@@ -105,14 +105,15 @@ def page_features(texts: Sequence[str], lags: int = 30, near: int = 40, window:
     return out
 
 
-def spam_pages(df: DataFrame, id_col: str, text: str, least_words: int = 8, listed: float = 0.6, stuffed: float = 0.6, linked: float = 0.6) -> DataFrame:
+def spam_pages(df: DataFrame, id_col: str, text: str, least_words: int = 8, listed: float = 0.6, stuffed: float = 0.6, linked: float = 0.6, regular: float = 0.35) -> DataFrame:
     """(id, the ``FEATURES``, spam, reason) of every page.
 
     ``link_list``: links make up ``linked`` of the signs, or two fifths of them with the rest a list of terms.
     ``term_list``: the share ``listed`` of the words stands among other content words, with next to no function words or
-    numbers. ``stuffed``: the share ``stuffed`` of the content words recurs within a short gap, in sentences or not; the
-    recurrence is ``regular`` instead where the positional autocorrelation at some lag is high too. Pages of which a third
-    or more are numbers are readings, not spam. Everything else has a null reason.
+    numbers. ``stuffed``: the share ``stuffed`` of the content words recurs within a short gap, in sentences or not.
+    ``regular``: half of them do, and the positional autocorrelation at some lag exceeds what the words' frequencies make
+    likely by ``regular``: the repetition has a fixed step. Pages of which a third or more are numbers are readings, not
+    spam. Everything else has a null reason.
 
     Null and empty texts, and pages without words and links, aren't spam. Repeated pages each get a row; an empty table
     gives none. No shuffle takes place; extra columns are ignored.
@@ -129,7 +130,8 @@ def spam_pages(df: DataFrame, id_col: str, text: str, least_words: int = 8, list
                 link = (f["link_share"] >= linked) | ((f["link_share"] >= 0.38) & (f["listed_share"] >= 0.5))
                 terms = enough & ~readings & (f["listed_share"] >= listed)
                 dense = enough & ~readings & (f["short_gap_share"] >= stuffed)
-                reason = np.select([link, terms, dense & (f["lag_excess"] >= 0.25), dense], ["link_list", "term_list", "regular", "stuffed"], default="")
+                stepped = enough & ~readings & (f["short_gap_share"] >= 0.5) & (f["lag_excess"] >= regular)
+                reason = np.select([link, terms, stepped, dense], ["link_list", "term_list", "regular", "stuffed"], default="")
                 yield f.assign(**{id_col: part[id_col], "reason": pd.Series(reason).replace("", None), "spam": reason != ""})[[id_col, *FEATURES, "spam", "reason"]]
 
     columns = ", ".join(f"{c} double" for c in FEATURES)
