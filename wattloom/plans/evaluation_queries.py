@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from wattloom.functions import metrics as mx
 from wattloom.functions import text as tx
 from wattloom.operators import evaluation as ev
+from wattloom.operators import experiments as ex
 from wattloom.operators import retrieval as rt
 from wattloom.operators.temporal import null_if_nan
 from wattloom.plans import knowledge_queries as kq
+from wattloom.session import checkpointed
 from wattloom.sources.tables import table
 
 METRICS = ("recall_at_k", "answer_relevance", "hallucination_rate")
@@ -220,13 +222,45 @@ def run_status(spark, sf_dir):
     return ev.run_status(runs, rows.select("exp_id", "top_k").distinct(), ["exp_id", "top_k"], "valid", "total")
 
 
+def _stand_in(prompts: list[str]) -> list[str]:
+    """A model that gives back the first line of its evidence, with the tag."""
+    lines = [next((x for x in p.split("\n") if x.startswith("[E1]")), "") for p in prompts]
+    return [f"{x.removeprefix('[E1] ')[:200]} [E1]." if x else "" for x in lines]
+
+
+def _experiment(spark: SparkSession, sf_dir: str, pipeline: str, mode: str) -> DataFrame:
+    golden = table(spark, sf_dir, "golden_queries")
+    q = golden.select(F.col("golden_id").alias("query_id"), F.col("user_query").alias("text"), "reference_answer")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("row_id"), "dataset", "granularity", F.lit("").alias("parent_id"), "text")
+    found = checkpointed(ex.retrieve(q, docs, pipeline, 5, rt.letter_vector, mode, [F.col("reference_answer")]))
+    out = ex.run(ex.prompts(q, found, docs), _stand_in, f"{pipeline}_{mode}", pipeline, 5, rt.letter_vector)
+    return out.select("exp_id", "query_id", F.array_join("retrieved", ",").alias("retrieved"), "error", "difficulty_label", "answer_relevance", "clarity", "attribution_coverage", "citation_accuracy")
+
+
+def experiment_dense(spark, sf_dir):
+    return _experiment(spark, sf_dir, "dense", "baseline")
+
+
+def experiment_hybrid_full(spark, sf_dir):
+    """Hybrid search over question and variant, reranked."""
+    return _experiment(spark, sf_dir, "hybrid", "full")
+
+
+def fallback_metrics(spark, sf_dir):
+    """Metrics of keyword search where a document that resembles the reference answer is a hit too."""
+    golden = table(spark, sf_dir, "golden_queries").select(F.col("golden_id").alias("query_id"), F.col("golden_id").alias("row_id"), F.col("reference_answer").alias("text"))
+    docs = kq.documents_of(spark, sf_dir).withColumn("row_id", F.col("row_id").cast("string"))
+    found = rt.bm25_topk(kq.questions_of(spark, sf_dir), docs, 5).join(docs, "row_id")
+    return ex.metrics_with_fallback(found, golden, 5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         rate_aggregate, judge_mean_count, metric_coverage, length_describe, length_quartiles, pivot_counts, value_counts, filled_pct, keyword_guard, guard_rates,
         clarity, citations, attribution_metrics, attribution_parents, attribution_by_experiment, difficulty, difficulty_summary, label_precision, caution,
         recall_precision_at_k, recall_precision_set, support, answer_relevance, useful_answers, answer_observers, retrieval_ranking, baseline_delta,
-        composite_rank, scorecard, run_status,
+        composite_rank, scorecard, run_status, experiment_dense, experiment_hybrid_full, fallback_metrics,
     )
 }
 
