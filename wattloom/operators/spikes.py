@@ -27,7 +27,7 @@ class SpikeRule:
     """
 
     threshold: float = 8.0
-    least_ratio: float = 1.6
+    least_ratio: float = 1.35
     low: float = 0.0
     low_open: bool = False
     high: float = float("inf")
@@ -101,7 +101,8 @@ def flag_source(t: np.ndarray, x: np.ndarray, other: np.ndarray, rule: SpikeRule
         sig_t, sig = t[keep], x[keep]
         level = np.median(np.abs(sig))
         unit = level if level > 0 else 1.0
-        y = sig / unit
+        # a level that can only be positive is taken by ratios: a fall to a thousandth then shows as clearly as a rise
+        y = np.log(sig / unit) if rule.low_open and rule.low >= 0 else sig / unit
         suspect = np.zeros(len(y), dtype=bool)
         for d in wavelet_details(y, rule.levels):
             suspect |= np.abs(d) > rule.threshold * max(robust_scale(d), 1e-9)
@@ -116,7 +117,8 @@ def flag_source(t: np.ndarray, x: np.ndarray, other: np.ndarray, rule: SpikeRule
         around = near[np.clip(np.searchsorted(calm_t, t, side="right") - 1, 0, len(near) - 1)]
         # a repeated delivery is held against the same surroundings as the first
         spread = rule.threshold * robust_scale((calm_x - near) / np.where(np.abs(near) > 0, np.abs(near), unit))
-        far_from = lambda base: (x > base * max(rule.least_ratio, 1 + spread)) | (x < base / max(rule.least_ratio, 1 + spread))
+        far = max(rule.least_ratio, 1 + spread)
+        far_from = lambda base, by: (x > base * by) | (x < base / by)
         again = ~first & good & (x != sig[at])
         if rule.heavy_tail:
             known = ~np.isnan(other) & (other > 0)
@@ -127,7 +129,8 @@ def flag_source(t: np.ndarray, x: np.ndarray, other: np.ndarray, rule: SpikeRule
             floor = np.percentile(sig, 2) * 0.2
             found = wrong | (~known & ((x > cap) | (x < floor)))
         else:
-            found = far_from(around) & far_from(usual)
+            # levels drift within a shard, so half the distance (as a ratio) from the usual value of the hour is enough
+            found = far_from(around, far) & far_from(usual, far**0.5)
         kind[good & (suspect[at] | again) & found] = SPIKE
         stuck = stuck_runs(sig, rule.stuck_run)
         kind[good & stuck[at] & (x == sig[at])] = STUCK
