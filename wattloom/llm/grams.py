@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -11,6 +11,18 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+def slices(texts: Iterable[str | None], signs: int = 1 << 18) -> Iterator[slice]:
+    """Runs of texts with about ``signs`` signs in all, at least one text each: what is held at once doesn't depend on lengths."""
+    start, held, i = 0, 0, 0
+    for i, t in enumerate(texts, 1):
+        held += len(t or "") + 16
+        if held >= signs:
+            yield slice(start, i)
+            start, held = i, 0
+    if start < i:
+        yield slice(start, i)
+
+
 def batch_codes(texts: Sequence[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each after ``pad`` pad signs and with runs of digits as one '0'; and each text's end.
 

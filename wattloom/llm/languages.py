@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.llm.grams import batch_codes, rolling_hashes
+from wattloom.llm.grams import batch_codes, rolling_hashes, slices
 
 LANGUAGES = ("de", "en", "es", "fr")
 ORDERS, BITS = (1, 2, 3), 16
@@ -62,10 +62,12 @@ def train_languages(labelled: DataFrame, text: str, lang: str, key: str, per_lan
         totals = np.zeros((len(LANGUAGES), len(ORDERS) << BITS))
         for pdf in batches:
             for lang_, part in pdf.groupby("lang"):
-                codes, _ = batch_codes([f" {t} " for t in _letters(part["text"].tolist())], max(ORDERS))
-                inside = codes != 2
-                for i, h in enumerate(rolling_hashes(codes, ORDERS, BITS)):
-                    totals[LANGUAGES.index(lang_), i << BITS : (i + 1) << BITS] += np.bincount(h[inside], minlength=1 << BITS)
+                texts = part["text"].tolist()
+                for at in slices(texts):
+                    codes, _ = batch_codes([f" {t} " for t in _letters(texts[at])], max(ORDERS))
+                    inside = codes != 2
+                    for i, h in enumerate(rolling_hashes(codes, ORDERS, BITS)):
+                        totals[LANGUAGES.index(lang_), i << BITS : (i + 1) << BITS] += np.bincount(h[inside], minlength=1 << BITS)
         at = np.nonzero(totals)
         yield pd.DataFrame({"lang": np.array(LANGUAGES)[at[0]], "bucket": at[1], "n": totals[at].astype("int64")})
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.grams import slices
 from wattloom.llm.languages import LanguageModel
 from wattloom.llm.truncation import EndingModel, bare, incomplete_endings, with_excess
 
@@ -122,8 +123,8 @@ def pair_defects(
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 5000):
-                part = pdf.iloc[i : i + 5000]
+            for at in slices(pdf["answer"]):
+                part = pdf.iloc[at]
                 yield part[[id_col, "source"]].assign(defect=defects(part["question"].tolist(), part["answer"].tolist(), part["excess"].fillna(0.0).to_numpy()))
 
     def defects(questions: list, answers: list, excess: np.ndarray) -> list[str | None]:
@@ -175,8 +176,8 @@ def truncated_answers(df: DataFrame, id_col: str, question: str, answer: str, so
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 5000):
-                part = pdf.iloc[i : i + 5000]
+            for at in slices(pdf["answer"]):
+                part = pdf.iloc[at]
                 answers = part["answer"].fillna("").tolist()
                 excess = part["excess"].fillna(0.0).to_numpy()
                 cut = incomplete_endings(answers, excess, endings)

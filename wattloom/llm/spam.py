@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.grams import slices
+
 #: Common function words of the corpus' languages, without those that are also markup or single letters.
 FUNCTION_WORDS = frozenset(
     """the of and to in is that for on was with as by at from it be were are this an or which had has have not but its than after before their no other
@@ -122,8 +124,8 @@ def spam_pages(df: DataFrame, id_col: str, text: str, least_words: int = 8, list
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 1000):
-                part = pdf.iloc[i : i + 1000].reset_index(drop=True)
+            for at in slices(pdf["text"], 1 << 20):
+                part = pdf.iloc[at].reset_index(drop=True)
                 f = page_features(part["text"].fillna("").tolist())
                 readings = f["number_share"] >= 0.33
                 enough = f["words"] >= least_words

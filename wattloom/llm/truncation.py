@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.llm.grams import batch_codes, rolling_hashes
+from wattloom.llm.grams import batch_codes, rolling_hashes, slices
 from wattloom.session import checkpointed
 
 #: Tables of contexts: the whole of a text up to that many signs, else its last 8 or 5.
@@ -107,8 +107,8 @@ def train_endings(df: DataFrame, text: str) -> EndingModel:
         seen, ends_ = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for i in range(0, len(texts), 2000):
-                codes, ends = batch_codes([bare(t) for t in texts[i : i + 2000]], max(ORDERS))
+            for part in slices(texts):
+                codes, ends = batch_codes([bare(t) for t in texts[part]], max(ORDERS))
                 inside = codes != 2
                 stop = np.zeros(len(codes), dtype=bool)
                 stop[ends[ends > 0] - 1] = True
