@@ -47,14 +47,15 @@ def _joined(left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _of_order(n: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    if n not in known:
+        last = 1 << ((n - 1).bit_length() - 1)
+        known[n] = _joined(_of_order(n - last, known), _of_order(last, known), last)
+    return known[n]
+
+
 def rolling_hashes(codes: np.ndarray, orders: Sequence[int], bits: int) -> list[np.ndarray]:
     """For each order the bucket of the n-gram that ends at each code point, built up from grams of half the length."""
+    # not a nested function that calls itself: the cycle would keep the arrays until Python collects its garbage
     known: dict[int, np.ndarray] = {1: (codes.astype(np.uint64) + np.uint64(1)) * _MIX}
-
-    def of(n: int) -> np.ndarray:
-        if n not in known:
-            last = 1 << ((n - 1).bit_length() - 1)
-            known[n] = _joined(of(n - last), of(last), last)
-        return known[n]
-
-    return [(of(n) * _MULTIPLY >> np.uint64(64 - bits)).astype(np.int64) for n in orders]
+    return [(_of_order(n, known) * _MULTIPLY >> np.uint64(64 - bits)).astype(np.int64) for n in orders]
