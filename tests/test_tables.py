@@ -13,6 +13,7 @@ from wattloom.operators import evaluation as ev
 from wattloom.operators import models
 from wattloom.operators import retrieval as rt
 from wattloom.operators import temporal as tp
+from wattloom.plans import knowledge_queries as kq
 
 
 def zone_rows(spark, days=2):
@@ -161,3 +162,17 @@ def test_evaluation_tables(spark):
     expected = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "exp string")
     assert {r["exp"]: r["status"] for r in ev.run_status(runs, expected, ["exp"], "valid", "total").collect()} == {"a": "OK", "b": "WARN", "c": "PART", "d": "PENDING"}
     assert ev.union_all([p, guard]).columns == ["pipeline", "r", "overall_pass"]
+
+
+def test_overlap_parent_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = {i: " ".join(rng.choice(list("abcdefghijklmnop"), 6)) for i in range(50, 450, 10)} | {50: None, 60: " ", 410: "Q r s", 500: "q R s t", 600: "", 700: None}
+    rows = [(i, t, None if i % 3 else "daily") for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, granularity string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = {i: set(t.lower().split()) for i, t in texts.items() if t and t.split()}
+    want = {}
+    for q in (i for i in words if i % 100 == 0):
+        share, least = min((-round(len(words[q] & words[d]) / len(words[q]), 9), d) for d in words if d != q)
+        want[q] = (least, round(-share, 6))
+    got = {r["query_id"]: (r["row_id"], r["score"]) for r in kq.overlap_parent(spark, str(tmp_path)).collect()}
+    assert got == want and set(got) == {100, 200, 300, 400, 500} and got[500] == (410, 0.75)

@@ -146,12 +146,13 @@ def hierarchical(spark, sf_dir):
 
 
 def overlap_parent(spark, sf_dir):
-    """For every hundredth document, the document of another source kind that shares most of its words."""
+    """For every hundredth document, the other document that shares most of its words."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    words = lambda d: d.select("doc_id", rt.marked_words("text").alias("payload")).where(F.size("payload") > 1)
-    q = words(docs.where("doc_id % 100 = 0 and granularity is not null")).withColumnRenamed("doc_id", "query_id")
-    out = rt.block_topk(q, words(docs.where("granularity is null")).withColumnRenamed("doc_id", "row_id"), rt.overlap_scorer, 1)
-    return out.select("query_id", "row_id", F.round("score", 6).alias("score"))
+    words = docs.select("doc_id", rt.marked_words("text").alias("payload")).where(F.size("payload") > 1)
+    q = words.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    # the best two, since one of them may be the document itself
+    out = rt.block_topk(q, words.withColumnRenamed("doc_id", "row_id"), rt.overlap_scorer, 2).where("query_id <> row_id")
+    return rt.ranked(out, "score", 1).select("query_id", "row_id", F.round("score", 6).alias("score"))
 
 
 def context_texts(spark, sf_dir):
