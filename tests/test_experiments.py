@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import experiments as ex
 from wattloom.operators import retrieval as rt
+from wattloom.plans.evaluation_queries import _stand_in
 
 
 def docs(spark):
@@ -53,3 +54,15 @@ def test_fallback_metrics(spark):
     m = ex.metrics_with_fallback(ranked, relevant, 3).first()
     assert (m["recall_at_k"], m["precision_at_k"], m["mrr"], m["ndcg_at_k"]) == (1.0, 0.6667, 1.0, 1.0)
     assert ex.metrics_with_fallback(ranked, relevant, 3, cap=False).first()["recall_at_k"] == 2.0
+
+
+def test_all_evidence_reaches_the_model(spark):
+    texts = [("d1", "load zone one. " * 400 + "\nlast line"), ("d2", "zone two peaked at noon")]
+    long = spark.createDataFrame(texts, "row_id string, text string")
+    found = spark.createDataFrame([("q#1", "d1", 0.9, 1), ("q#1", "d2", 0.8, 2)], "query_id string, row_id string, score double, rank int")
+    prompted = ex.prompts(questions(spark).where("query_id <> 's'"), found, long)
+    content = {r["query_id"]: r["messages"][1]["content"] for r in prompted.collect()}["q#1"]
+    assert all(t in content for _, t in texts) and "[E2] zone two peaked at noon" in content
+    results = {r["query_id"]: r for r in ex.run(prompted, _stand_in, "exp", "dense", 2, rt.letter_vector).collect()}
+    assert results["q#1"]["answer"].split("\n") == ["load zone one. " * 400 + " [E1].", "last line [E1].", "zone two peaked at noon [E2]."]
+    assert results["q#1"]["correct_citations"] == 2 and results["r"]["answer"] == ""

@@ -20,7 +20,6 @@ MODES = {
     "improved_prompt": frozenset({"prompt"}), "full": frozenset({"expand", "rerank", "prompt"}),
 }
 METADATA = ("zone", "date", "granularity", "time_window", "source")
-CONTEXT_SIGNS = 2000
 
 SYSTEM = "You are an analyst of electricity demand."
 STYLES = {
@@ -41,7 +40,7 @@ DIFFICULTY = {
 
 
 def messages(question: Column | str, style: str, context: Column | None = None, difficulty: Column | None = None) -> Column:
-    """ARRAY<STRUCT<role, content>> of a prompt; the context is cut to 2,000 signs."""
+    """ARRAY<STRUCT<role, content>> of a prompt, with the whole context."""
     parts = [F.lit(STYLES[style])]
     if difficulty is not None:
         prefix = F.lit(None).cast("string")
@@ -49,7 +48,7 @@ def messages(question: Column | str, style: str, context: Column | None = None,
             prefix = F.when(difficulty == label, words).otherwise(prefix)
         parts.insert(0, prefix)
     if context is not None:
-        parts.append(F.concat(F.lit("Context:\n"), F.substring(context, 1, CONTEXT_SIGNS)))
+        parts.append(F.concat(F.lit("Context:\n"), context))
     parts.append(F.concat(F.lit("Question: "), tx.clean_text(question)))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return F.array(message("system", F.lit(SYSTEM)), message("user", F.concat_ws("\n\n", *parts)))

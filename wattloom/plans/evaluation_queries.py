@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,9 +224,17 @@ def run_status(spark, sf_dir):
 
 
 def _stand_in(prompts: list[str]) -> list[str]:
-    """A model that gives back the first line of its evidence, with the tag."""
-    lines = [next((x for x in p.split("\n") if x.startswith("[E1]")), "") for p in prompts]
-    return [f"{x.removeprefix('[E1] ')[:200]} [E1]." if x else "" for x in lines]
+    """A model that gives back all lines of its evidence, each with its tag."""
+    return ["\n".join(_tagged_lines(p)) for p in prompts]
+
+
+def _tagged_lines(prompt: str) -> Iterator[str]:
+    tag = ""
+    for line in prompt.partition("Context:\n")[2].rpartition("\n\nQuestion: ")[0].split("\n"):
+        if opened := re.match(r"\[(E\d+)\] ", line):
+            tag, line = opened[1], line[opened.end() :]
+        if tag and line.strip():
+            yield f"{line} [{tag}]."
 
 
 def _experiment(spark: SparkSession, sf_dir: str, pipeline: str, mode: str) -> DataFrame:
