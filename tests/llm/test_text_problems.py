@@ -162,3 +162,19 @@ def test_features_dont_depend_on_the_batch():
     for i, t in enumerate(texts):
         assert page_features([t]).iloc[0].to_numpy() == pytest.approx(together.iloc[i].to_numpy())
     assert page_features(["red blue green " * 30]).iloc[0]["lag_excess"] > 0.5
+
+
+def test_hazards_against_neighbouring_hazards(spark):
+    """A steady hazard has no limit, though its counts fall from length to length; what is expected, by brute force."""
+    steady = {x: round(4000 * 0.8**x) for x in range(0, 36) if x != 17}
+    uneven = {0: 3, 5: 40, 30: 7, 31: 1, 90: 2}
+    rows = [(s, x) for s, counts in (("steady", steady), ("uneven", uneven), ("empty", {0: 9})) for x, n in counts.items() for _ in range(n)]
+    out = {(r["source"], r["length"]): r for r in length_hazards(spark.createDataFrame(rows, "src string, l int"), "src", "l").collect()}
+    for s, counts in (("steady", steady), ("uneven", uneven)):
+        at_risk = lambda x: sum(n for y, n in counts.items() if y >= x)  # noqa: B023, E731
+        for x in counts:
+            around = [y for y in range(max(0, x - 20), x + 21) if y != x]
+            ended = sum(counts.get(y, 0) for y in around) + 1
+            want = max(at_risk(x) * ended / sum(at_risk(y) for y in around), ended / sum(y <= max(counts) for y in around))
+            assert out[s, x]["expected"] == pytest.approx(want)
+    assert not any(r["significant"] for (s, _), r in out.items() if s != "uneven") and out["uneven", 5]["significant"]

@@ -26,8 +26,10 @@ def length_hazards(df: DataFrame, source: str, length: str, reach: int = 20, fdr
     """(source, length, n, at_risk, hazard, expected, p_value, significant, excess) of each length that occurs.
 
     The discrete hazard of a length is the share of texts at least as long that end there. It is tested against that of
-    the ``reach`` neighbouring lengths on either side: ``expected`` is what their hazard lets expect, one text more than
-    they had; ``p_value`` bounds the Poisson tail from above (Chernoff). Benjamini and Hochberg's step-up at level ``fdr``
+    the ``reach`` neighbouring lengths on either side, lengths that don't occur included: ``expected`` is what their
+    hazard lets expect of the texts at risk, one text more than they had counted as ended there, but no less than the
+    mean count of these lengths up to the source's longest: near the longest text any hazard rises to 1 without a limit.
+    Where no text is at risk at any neighbour, all are expected. ``p_value`` bounds the Poisson tail from above (Chernoff). Benjamini and Hochberg's step-up at level ``fdr``
     within each source decides. ``excess`` is the share of the texts of that length beyond what was expected.
 
     Lengths are counted before anything else, so windows run over lengths, not texts. Null lengths take no part; a null
@@ -35,11 +37,20 @@ def length_hazards(df: DataFrame, source: str, length: str, reach: int = 20, fdr
     """
     counts = df.where(F.col(length).isNotNull()).groupBy(F.col(source).alias("source"), F.col(length).cast("long").alias("length")).agg(F.count("*").alias("n"))
     longer = Window.partitionBy("source").orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    around = Window.partitionBy("source").orderBy("length").rangeBetween(-reach, reach)
-    lam = (F.col("near") - F.col("n") + 1) / F.lit(2.0 * reach)
+    by_length = Window.partitionBy("source").orderBy("length")
+    around, beyond = by_length.rangeBetween(-reach, reach), by_length.rangeBetween(reach + 1, Window.unboundedFollowing)
+    # texts at risk, summed over the lengths from ``first`` to reach beyond: a text counts at each up to its own
+    first = F.greatest(F.col("length") - reach, F.lit(0))
+    risk = F.col("near_signs") - (first - 1) * F.col("near") + (F.col("length") + reach - first + 1) * F.col("beyond") - F.col("at_risk")
+    others = F.least(F.col("length") + reach, F.max("length").over(Window.partitionBy("source"))) - first
+    ended = F.col("near") - F.col("n") + 1
+    lam = F.when(risk > 0, F.greatest(F.col("at_risk") * ended / risk, ended / others)).otherwise(F.col("at_risk").cast("double"))
     log_p = F.when((F.col("n") > F.col("expected")) & (F.col("n") >= least), -(F.col("n") * F.log(F.col("n") / F.col("expected")) - F.col("n") + F.col("expected"))).otherwise(0.0)
     tested = (
-        counts.withColumns({"at_risk": F.sum("n").over(longer), "near": F.sum("n").over(around)})
+        counts.withColumns({
+            "at_risk": F.sum("n").over(longer), "near": F.sum("n").over(around), "near_signs": F.sum(F.col("n") * F.col("length")).over(around),
+            "beyond": F.coalesce(F.sum("n").over(beyond), F.lit(0)),
+        })
         .withColumns({"hazard": F.col("n") / F.col("at_risk"), "expected": lam})
         .withColumn("p_value", F.exp(log_p))
     )
@@ -50,7 +61,7 @@ def length_hazards(df: DataFrame, source: str, length: str, reach: int = 20, fdr
         tested.withColumn("limit", F.when(passes, F.col("p_value")))
         .withColumn("significant", F.coalesce(F.col("p_value") <= F.max("limit").over(whole), F.lit(False)))
         .withColumn("excess", F.greatest(F.lit(0.0), 1 - F.col("expected") / F.col("n")))
-        .drop("near", "limit")
+        .drop("near", "near_signs", "beyond", "limit")
     )
 
 
