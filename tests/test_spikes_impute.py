@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import READINGS, at
 from wattloom.operators.impute import filled_readings
-from wattloom.operators.spikes import IMPOSSIBLE, SPIKE, STUCK, SpikeRule, implausible_readings, wavelet_details
+from wattloom.operators import spikes
+from wattloom.operators.spikes import IMPOSSIBLE, SPIKE, STUCK, SpikeRule, flag_source, implausible_measures, implausible_readings, stuck_runs, wavelet_details
 
 RULE = SpikeRule(low=0.0, low_open=True)
 
@@ -49,6 +50,48 @@ def test_planted_cases_come_out_and_swings_dont(spark, days):
     assert got == want
 
 
+def test_the_wavelet_details_decide(monkeypatch):
+    """With the coefficients shuffled, or gone, other readings come out."""
+    _, x = series()
+    x[[100, 400]] *= [5, 0.2]
+    x[600:606] = x[600]
+    t, none = np.arange(len(x)) * 3600, np.full(len(x), np.nan)
+    want = flag_source(t, x, none, RULE)
+    assert set(np.flatnonzero(want == SPIKE)) == {100, 400} and set(np.flatnonzero(want == STUCK)) == set(range(600, 606))
+    rng, true = np.random.default_rng(0), spikes.wavelet_details
+    monkeypatch.setattr(spikes, "wavelet_details", lambda y, levels: (rng.permutation(d) for d in true(y, levels)))
+    shuffled = flag_source(t, x, none, RULE)
+    assert (shuffled != want).any()
+    monkeypatch.setattr(spikes, "wavelet_details", lambda y, levels: (np.full(len(y), 9.0) for _ in range(levels)))
+    assert not (flag_source(t, x, none, RULE) == STUCK).any()
+
+
+def test_stands_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x = np.repeat(rng.integers(1, 4, 12), rng.integers(1, 9, 12)).astype(float)
+        runs = np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1)
+        want = sorted(i for r in runs if len(r) >= 6 for i in r)
+        assert np.flatnonzero(stuck_runs(x, 6)).tolist() == want
+    assert not stuck_runs(np.arange(20.0), 6).any()  # a straight line has no details either
+
+
+def test_several_measures_and_blocks_agree_with_one_by_one(spark):
+    times, x = series(24 * 60)
+    v = 230 + np.random.default_rng(5).standard_normal(len(x))
+    x[[100, 700, 900]] *= 6
+    v[[50, 800]] = [120, 400]
+    v[1000:1008] = 231.0
+    rows = [(i, 1, t, float(a), None if i % 50 == 7 else float(b)) for i, (t, a, b) in enumerate(zip(times, x, v, strict=True))]
+    df = spark.createDataFrame(rows, "reading_id long, zone_id int, datetime timestamp_ntz, load_mw double, v double")
+    rules = {"load_mw": RULE, "v": SpikeRule(low=0.0, low_open=True, least_ratio=1.05)}
+    both = {(r["field"], r["reading_id"], r["kind"]) for r in implausible_measures(df, "reading_id", "zone_id", "datetime", rules).collect()}
+    alone = {(f, r["reading_id"], r["kind"]) for f, rule in rules.items() for r in implausible_readings(df, "reading_id", "zone_id", "datetime", f, rule).collect()}
+    assert both == alone == {("load_mw", i, SPIKE) for i in (100, 700, 900)} | {("v", i, SPIKE) for i in (50, 800)} | {("v", i, STUCK) for i in range(1000, 1008) if i != 1007}
+    blocks = {(r["field"], r["reading_id"], r["kind"]) for r in implausible_measures(df, "reading_id", "zone_id", "datetime", rules, block_rows=64).collect()}
+    assert blocks == both
+
+
 def test_repeats_nulls_and_short_sources(spark):
     times, x = series(24 * 10)
     x[50] *= 6
@@ -69,7 +112,7 @@ def test_ordinary_peaks_are_borne_out_by_the_companion(spark):
     power[[70, 700]] = [60.0, -1.0]
     rows = [(i, 1, t, float(p), float(a)) for i, (t, p, a) in enumerate(zip(times, power, amps, strict=True))]
     df = spark.createDataFrame(rows, "reading_id long, house_id int, datetime timestamp_ntz, p double, amps double")
-    out = implausible_readings(df, "reading_id", "house_id", "datetime", "p", SpikeRule(heavy_tail=True), F.col("amps"))
+    out = implausible_readings(df, "reading_id", "house_id", "datetime", "p", SpikeRule(heavy_tail=True, least_ratio=1.5), F.col("amps"))
     assert {r["reading_id"]: r["kind"] for r in out.collect()} == {70: SPIKE, 700: IMPOSSIBLE}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattloom.functions.timeparts import epoch_seconds, usable
+from wattloom.functions.timeparts import epoch_seconds
 
 SPIKE, STUCK, IMPOSSIBLE = "spike", "stuck", "impossible"
 
@@ -19,11 +19,11 @@ SPIKE, STUCK, IMPOSSIBLE = "spike", "stuck", "impossible"
 class SpikeRule:
     """How a measurement behaves.
 
-    ``threshold`` is in robust standard deviations of a level's detail coefficients; ``least_ratio`` the least deviation
-    from the usual level, as a factor, that counts at all; ``low`` and ``high`` are physical bounds, ``low_open`` says that
-    ``low`` itself is impossible; ``stuck_run`` successive readings of one value at different times are a stand.
-    ``heavy_tail`` measurements have ordinary peaks: a spike must then also contradict the ``companion`` column, to which
-    the quantity is in proportion (null where there is none), or, without it, lie beyond all that the companion shows.
+    ``threshold`` is in robust standard deviations of a level's coefficients; ``least_ratio`` the least deviation, as a
+    factor, that counts at all; ``low`` and ``high`` are physical bounds, ``low_open`` says that ``low`` itself is
+    impossible; ``stuck_run`` successive readings of one value at different times are a stand. ``heavy_tail`` measurements
+    have ordinary peaks: what they should be is then told by the ``companion`` column, to which the quantity is in
+    proportion, or, where it is null, by the range of all that the companion shows.
     """
 
     threshold: float = 8.0
@@ -34,11 +34,15 @@ class SpikeRule:
     stuck_run: int = 6
     heavy_tail: bool = False
     levels: int = 6
-    #: A factor from the usual value of the hour beyond which a reading doesn't serve as surroundings of others.
+    #: A factor from the expected value beyond which a reading doesn't shape the first approximation of its surroundings.
     outlying: float = 2.5
+    #: Heavy tails only: what readings near 0 may differ by, in the measurement's unit.
+    slack: float = 0.3
 
 
 SCALING = np.array([1, 4, 6, 4, 1]) / 16.0
+#: Readings on either side that the coarsest of six levels reaches.
+REACH = 128
 
 
 def wavelet_details(y: np.ndarray, levels: int) -> Iterator[np.ndarray]:
@@ -61,18 +65,6 @@ def robust_scale(d: np.ndarray) -> float:
     return float(np.median(a)) * 1.4826 if len(a) else 0.0
 
 
-def neighbour_median(x: np.ndarray, half: int) -> np.ndarray:
-    """Median of up to ``half`` readings on each side, without the reading itself."""
-    padded = np.concatenate([np.full(half, np.nan), x, np.full(half, np.nan)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)
-    others = np.delete(windows, half, axis=1)
-    empty = np.isnan(others).all(axis=1)
-    others = np.where(empty[:, None], x[:, None], others)
-    if not np.isnan(others).any():
-        return np.median(others, axis=1)
-    return np.nanmedian(others, axis=1)
-
-
 def hour_median(hour: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Median of the values at the same hour of the day."""
     out = np.empty(len(x))
@@ -83,57 +75,93 @@ def hour_median(hour: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def coarse_parts(y: np.ndarray, levels: int) -> list[np.ndarray]:
+    """What is left of a signal when the details of the finest level, of the two finest, and so on are taken away."""
+    out, c = [], y
+    for d in wavelet_details(y, levels):
+        c = c - d
+        out.append(c)
+    return out
+
+
+def wavelet_outliers(y: np.ndarray, every: np.ndarray, at: np.ndarray, rule: SpikeRule, least: float, start: float, rounds: int = 6) -> np.ndarray:
+    """Which of the deviations ``every``, taken at the places ``at`` of the signal ``y``, are spikes.
+
+    A reading's detail at a level is its distance from what the signal without outliers keeps beyond that level. It is
+    significant beyond ``rule.threshold`` robust deviations of that level's details, and ``least``; a reading is a spike
+    if the levels agree, but for two. What is found so is cut out, bridged, and the rest transformed anew until nothing
+    changes; the first cut is at ``start``, since a stretch of outliers would else pass for the signal.
+    """
+    held = np.abs(y) > start
+    for _ in range(rounds):
+        kept = np.flatnonzero(~held)
+        clean = np.interp(np.arange(len(y)), kept, y[kept]) if len(kept) else np.zeros(len(y))
+        coarse = coarse_parts(clean, rule.levels)
+        limits = [max(least, rule.threshold * robust_scale((y - c)[kept])) for c in coarse]
+        agreed = max(1, len(coarse) - 2)
+        found = sum((np.abs(y - c) > m).astype(int) for c, m in zip(coarse, limits, strict=True)) >= agreed
+        if (found == held).all():
+            break
+        held = found
+    return sum((np.abs(every - c[at]) > m).astype(int) for c, m in zip(coarse, limits, strict=True)) >= agreed
+
+
 def stuck_runs(x: np.ndarray, least: int) -> np.ndarray:
-    """Readings in runs of zero detail between neighbours that are at least ``least`` long."""
+    """Readings of stands: runs of zero detail at the finest level, checked to be of one value and ``least`` long.
+
+    The finest coefficient weighs five readings, so a stand has four zero details fewer than readings.
+    """
+    if len(x) < max(least, 5):
+        return np.zeros(len(x), dtype=bool)
+    zero = np.abs(next(wavelet_details(x, 1))) <= 1e-12 * np.abs(x).max()
+    part = np.cumsum(np.r_[True, zero[1:] != zero[:-1]]) - 1
+    long = zero & (np.bincount(part)[part] >= max(1, least - 4))
     run = np.cumsum(np.r_[True, np.diff(x) != 0]) - 1
-    return np.bincount(run)[run] >= least
+    return (np.bincount(run)[run] >= least) & (np.bincount(run, weights=long)[run] > 0)
+
+
+def expected_by(other: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What a companion (NaN where there is none) lets expect; without it the nearest value that it shows anywhere."""
+    known = ~np.isnan(other) & (other > 0)
+    if known.any():
+        other = other * np.median(x[known] / other[known])
+        cap = np.max(other[known]) * 1.25
+    else:
+        cap = np.median(x) * 40
+    return np.where(known, other, np.clip(x, np.percentile(x, 2) * 0.2, cap))
 
 
 def flag_source(t: np.ndarray, x: np.ndarray, other: np.ndarray, rule: SpikeRule) -> np.ndarray:
     """The kind of implausibility of each reading of one source, '' for none. t (seconds) is sorted and may repeat."""
     kind = np.full(len(x), "", dtype=object)
     impossible = (x < rule.low) | (x > rule.high) | ((x == rule.low) & rule.low_open) | ~np.isfinite(x)
-    first = np.r_[True, np.diff(t) != 0]
+    first = np.r_[True, np.diff(t) != 0][: len(t)]
     good = ~impossible
     # one reading a time makes the signal; impossible values are held out, else they'd blur the details
     keep = first & good
     if keep.sum() >= 5:
         sig_t, sig = t[keep], x[keep]
-        level = np.median(np.abs(sig))
-        unit = level if level > 0 else 1.0
-        # a level that can only be positive is taken by ratios: a fall to a thousandth then shows as clearly as a rise
-        y = np.log(sig / unit) if rule.low_open and rule.low >= 0 else sig / unit
-        suspect = np.zeros(len(y), dtype=bool)
-        for d in wavelet_details(y, rule.levels):
-            suspect |= np.abs(d) > rule.threshold * max(robust_scale(d), 1e-9)
         at = np.clip(np.searchsorted(sig_t, t, side="right") - 1, 0, len(sig) - 1)
-        by_hour = hour_median((sig_t // 3600) % 24, sig)
-        usual = by_hour[at]
-        # whole stretches can be off, so what lies far from the usual is no surroundings for others
-        calm = (sig > by_hour / rule.outlying) & (sig < by_hour * rule.outlying)
-        calm = calm if calm.sum() >= 5 else np.ones(len(sig), dtype=bool)
-        calm_t, calm_x = sig_t[calm], sig[calm]
-        near = neighbour_median(calm_x, 5)
-        around = near[np.clip(np.searchsorted(calm_t, t, side="right") - 1, 0, len(near) - 1)]
-        # a repeated delivery is held against the same surroundings as the first
-        spread = rule.threshold * robust_scale((calm_x - near) / np.where(np.abs(near) > 0, np.abs(near), unit))
-        far = max(rule.least_ratio, 1 + spread)
-        far_from = lambda base, by: (x > base * by) | (x < base / by)
-        again = ~first & good & (x != sig[at])
         if rule.heavy_tail:
-            known = ~np.isnan(other) & (other > 0)
-            if known.any():  # in the source's own units
-                other = other * np.median(x[known] / other[known])
-            wrong = known & ((x > 1.5 * other + 0.15) | (x < other / 1.5 - 0.15) | (x < 0.2 * other))
-            cap = np.max(other[known]) * 1.25 if known.any() else np.median(sig) * 40
-            floor = np.percentile(sig, 2) * 0.2
-            found = wrong | (~known & ((x > cap) | (x < floor)))
+            usual = expected_by(other[keep], sig)
+            # without a companion only what leaves its whole range deviates
+            slack = np.where(np.isnan(other[keep]), 1e-9, rule.slack)
+            depart = lambda v, i: np.log((v + slack[i]) / (usual[i] + slack[i]))
+            least, start = np.log(rule.least_ratio), np.log(rule.least_ratio)
         else:
-            # levels drift within a shard, so half the distance (as a ratio) from the usual value of the hour is enough
-            found = far_from(around, far) & far_from(usual, far**0.5)
-        kind[good & (suspect[at] | again) & found] = SPIKE
-        stuck = stuck_runs(sig, rule.stuck_run)
-        kind[good & stuck[at] & (x == sig[at])] = STUCK
+            usual = hour_median((sig_t // 3600) % 24, sig)
+            level = np.median(np.abs(sig))
+            if rule.low_open and rule.low >= 0:
+                # a level that can only be positive is taken by ratios: a fall to a thousandth then shows as clearly as a rise
+                depart = lambda v, i: np.log(v / usual[i])
+                least, start = np.log(rule.least_ratio), np.log(rule.outlying)
+            else:
+                depart = lambda v, i: (v - usual[i]) / (level or 1.0)
+                least, start = rule.least_ratio - 1, rule.outlying - 1
+        every = np.zeros(len(x))
+        every[good] = depart(x[good], at[good])
+        kind[good & wavelet_outliers(depart(sig, np.arange(len(sig))), every, at, rule, least, start)] = SPIKE
+        kind[good & stuck_runs(sig, rule.stuck_run)[at] & (x == sig[at])] = STUCK
     kind[impossible] = IMPOSSIBLE
     zero = first & (x == 0)
     if zero.sum() >= rule.stuck_run:  # an outage that reads 0 all along is a stand, possible or not
@@ -150,47 +178,93 @@ def time_shards(readings: DataFrame, shard_s: int, halo_s: int, halo_rows: int)
     shard before and after that lie nearest.
     """
     own = readings.withColumn("own", F.floor(F.col("t") / F.lit(shard_s)))
-    up = Window.partitionBy("entity_id", "own").orderBy("t")
-    down = Window.partitionBy("entity_id", "own").orderBy(F.col("t").desc())
+    whole = Window.partitionBy("entity_id", "own")
     into = F.col("t") - F.col("own") * shard_s
-    ranked = own.withColumns({"from_start": F.row_number().over(up), "from_end": F.row_number().over(down)})
+    ranked = own.withColumns({"from_start": F.row_number().over(whole.orderBy("t")), "rows": F.count("*").over(whole)})
     back = (into < halo_s) | (F.col("from_start") <= halo_rows)
-    ahead = (into >= shard_s - halo_s) | (F.col("from_end") <= halo_rows)
+    ahead = (into >= shard_s - halo_s) | (F.col("rows") - F.col("from_start") < halo_rows)
     to = F.array_compact(F.array(F.col("own"), F.when(back, F.col("own") - 1), F.when(ahead, F.col("own") + 1)))
-    return ranked.withColumn("shard", F.explode(to)).withColumn("halo", F.col("shard") != F.col("own")).drop("own", "from_start", "from_end")
+    return ranked.withColumn("shard", F.explode(to)).withColumn("halo", F.col("shard") != F.col("own")).drop("own", "from_start", "rows")
 
 
-def implausible_readings(
-    df: DataFrame, id_col: str, entity: str, ts: str, value: str, rule: SpikeRule, companion: Column | None = None,
-    shard_days: int = 28, halo_days: int = 3,
+def shard_blocks(batches: Iterator[pd.DataFrame], most: int, reach: int = 2 * REACH) -> Iterator[tuple[pd.DataFrame, int, int]]:
+    """(rows, first, end) from batches sorted by shard: each shard's rows with the range that is still to be judged.
+
+    A shard comes whole up to ``most`` rows; a longer one comes in blocks that overlap by ``reach`` rows on either side, so
+    a task holds no more however often a source reports.
+    """
+    held: list[pd.DataFrame] = []
+    size, done = 0, 0
+    for pdf in batches:
+        key = pdf["entity_id"].to_numpy(), pdf["shard"].to_numpy()
+        cuts = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1 if len(pdf) else []
+        for part in np.split(np.arange(len(pdf)), cuts):
+            if not len(part):
+                continue
+            rows = pdf.iloc[part[0] : part[-1] + 1]
+            if held and (held[-1]["entity_id"].iloc[0] != rows["entity_id"].iloc[0] or held[-1]["shard"].iloc[0] != rows["shard"].iloc[0]):
+                yield pd.concat(held, ignore_index=True), done, size
+                held, size, done = [], 0, 0
+            held.append(rows)
+            size += len(rows)
+            if size >= most + 2 * reach:
+                block = pd.concat(held, ignore_index=True)
+                yield block, done, size - reach
+                held, size, done = [block.iloc[-2 * reach :]], 2 * reach, reach
+    if held:
+        yield pd.concat(held, ignore_index=True), done, size
+
+
+def implausible_measures(
+    df: DataFrame, id_col: str, entity: str, ts: str, rules: Mapping[str, SpikeRule], companions: Mapping[str, Column] | None = None,
+    shard_days: int = 28, halo_days: int = 3, block_rows: int = 100_000,
 ) -> DataFrame:
-    """(reading_id, entity_id, value, kind) of the readings that the source cannot truly have had.
+    """(reading_id, entity_id, field, value, kind) of the readings that the source cannot truly have had.
 
-    Each source is cut into time shards with a halo, and each shard goes through an undecimated wavelet transform. Spikes
-    are readings whose detail coefficients exceed a robust threshold at any level and that an exact check against the
-    surroundings and the usual values at that hour (or the companion) confirms. ``stuck`` are runs of equal readings,
-    ``impossible`` those outside the physical bounds.
+    Each source is cut into time shards with a halo, once for all fields of ``rules``. What a reading departs from the
+    usual value at its hour (or from its companion, for heavy tails) makes a signal that goes through an undecimated
+    wavelet transform; ``spike``s are readings whose details exceed a robust threshold at the levels that have to agree.
+    ``stuck`` are runs of zero detail, ``impossible`` readings outside the physical bounds.
 
     Null and NaN values, null entities and null times take no part and are no cases. Repeated deliveries are judged each
     by its own value, against surroundings in which a time counts once. A shard with fewer than five different times
-    is only held against the bounds. An empty table gives no rows; extra columns are ignored.
+    is only held against the bounds. Shards of more than ``block_rows`` readings are judged in overlapping blocks. An
+    empty table gives no rows; extra columns are ignored.
     """
-    other = companion if companion is not None else F.lit(None)
-    readings = df.where(usable(value, entity, ts)).select(
+    fields = list(rules)
+    value = lambda f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+    other = lambda f: (companions or {}).get(f, F.lit(None)).cast("double")
+    paired = [f for f in fields if f in (companions or {})]
+    readings = df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull() & F.coalesce(*[value(f) for f in fields]).isNotNull()).select(
         F.col(entity).alias("entity_id"), F.col(id_col).alias("reading_id"), epoch_seconds(ts).alias("t"),
-        F.col(value).cast("double").alias("x"), other.cast("double").alias("other"),
+        *[value(f).alias(f"x{i}") for i, f in enumerate(fields)], *[other(f).alias(f"o{fields.index(f)}") for f in paired],
     )
 
-    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "reading_id"], kind="stable")
-        kind = flag_source(pdf["t"].to_numpy(), pdf["x"].to_numpy(), pdf["other"].to_numpy(dtype=float), rule)
-        hit = (kind != "") & ~pdf["halo"].to_numpy()
-        out = pdf.loc[hit, ["reading_id", "entity_id", "x"]]
-        return out.assign(kind=kind[hit]).rename(columns={"x": "value"})
+    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block, begin, end in shard_blocks(batches, block_rows):
+            here = np.arange(len(block))
+            judged = (here >= begin) & (here < end) & ~block["halo"].to_numpy(dtype=bool)
+            for i, f in enumerate(fields):
+                x = block[f"x{i}"].to_numpy(dtype=float)
+                has = np.flatnonzero(~np.isnan(x))
+                if not judged[has].any():
+                    continue
+                o = block[f"o{i}"].to_numpy(dtype=float)[has] if f in paired else np.full(len(has), np.nan)
+                kind = flag_source(block["t"].to_numpy()[has], x[has], o, rules[f])
+                hit = has[(kind != "") & judged[has]]
+                if len(hit):
+                    yield block.loc[hit, ["reading_id", "entity_id"]].assign(field=f, value=x[hit], kind=kind[np.isin(has, hit)])
 
     types = dict(readings.dtypes)
+    longest = max(r.stuck_run for r in rules.values())
     return (
-        time_shards(readings, shard_days * 86400, halo_days * 86400, rule.stuck_run)
-        .groupBy("entity_id", "shard")
-        .applyInPandas(flag, f"reading_id {types['reading_id']}, entity_id {types['entity_id']}, value double, kind string")
+        time_shards(readings, shard_days * 86400, halo_days * 86400, longest)
+        .repartition("entity_id", "shard")
+        .sortWithinPartitions("entity_id", "shard", "t", "reading_id")
+        .mapInPandas(flag, f"reading_id {types['reading_id']}, entity_id {types['entity_id']}, field string, value double, kind string")
     )
+
+
+def implausible_readings(df: DataFrame, id_col: str, entity: str, ts: str, value: str, rule: SpikeRule, companion: Column | None = None, **shards: int) -> DataFrame:
+    """(reading_id, entity_id, value, kind) of one field; see ``implausible_measures``."""
+    return implausible_measures(df, id_col, entity, ts, {value: rule}, {} if companion is None else {value: companion}, **shards).drop("field")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from wattloom.operators.impute import METERS, filled_readings
 from wattloom.operators.regular_grid import OBSERVED, regular_grid
 from wattloom.operators.rolling import rolling_totals
-from wattloom.operators.spikes import SpikeRule, implausible_readings
+from wattloom.operators.spikes import SpikeRule, implausible_measures
 from wattloom.sources.tables import table
 
 HOUR, HALF_HOUR = 3600, 1800
 LOAD_RULE = SpikeRule(low=0.0, low_open=True)
 VOLTAGE_RULE = SpikeRule(low=0.0, low_open=True, least_ratio=1.05)
-POWER_RULE = SpikeRule(low=0.0, heavy_tail=True)
+POWER_RULE = SpikeRule(low=0.0, heavy_tail=True, least_ratio=1.5)
 
 
 def p2_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     load, house = table(spark, sf_dir, "load_history"), table(spark, sf_dir, "household")
     amps = F.when(F.col("global_intensity").between(0.05, 200.0), F.col("global_intensity"))
-    parts = [
-        implausible_readings(load, "reading_id", "zone_id", "datetime", "load_mw", LOAD_RULE).withColumns({"source_table": F.lit("load_history"), "field": F.lit("load_mw")}),
-        implausible_readings(house, "reading_id", "house_id", "datetime", "global_active_power", POWER_RULE, amps).withColumns({"source_table": F.lit("household"), "field": F.lit("global_active_power")}),
-        implausible_readings(house, "reading_id", "house_id", "datetime", "voltage", VOLTAGE_RULE).withColumns({"source_table": F.lit("household"), "field": F.lit("voltage")}),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("source_table", "reading_id", "field", "entity_id", "value", "kind")
+    zones = implausible_measures(load, "reading_id", "zone_id", "datetime", {"load_mw": LOAD_RULE}).withColumn("source_table", F.lit("load_history"))
+    rules = {"global_active_power": POWER_RULE, "voltage": VOLTAGE_RULE}
+    homes = implausible_measures(house, "reading_id", "house_id", "datetime", rules, {"global_active_power": amps}).withColumn("source_table", F.lit("household"))
+    return zones.unionByName(homes).select("source_table", "reading_id", "field", "entity_id", "value", "kind")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
