@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wattloom.llm import spam
 from wattloom.llm.languages import train_languages
 from wattloom.llm.leakage import leaked_items, tile
 from wattloom.llm.pairs import is_copy, is_empty, is_refusal, pair_defects, truncated_answers
@@ -152,16 +154,36 @@ def test_spam(spark):
     rows = [(i, t) for i, t in enumerate(t for part in pages.values() for t in part)]
     out = {r["id"]: r["reason"] for r in spam_pages(spark.createDataFrame(rows, "id int, text string").withColumn("words", F.lit(1)), "id", "text").collect()}
     kinds = [k for k, part in pages.items() for _ in part]
-    assert ["dense" if out[i] in ("regular", "stuffed") else out[i] for i in range(len(rows))] == kinds
+    same = {"stuffed": "dense", "noun_list": "term_list"}
+    assert [same.get(out[i], out[i]) for i in range(len(rows))] == kinds
     assert spam_pages(spark.createDataFrame([], "id int, text string"), "id", "text").count() == 0
 
 
+def test_recurrence_against_brute_force_and_ablation(spark):
+    """The autocorrelation by trying all pairs; with no lags the pages of recurring terms don't come out."""
+    rng = random.Random(4)
+    for _ in range(20):
+        words = rng.choices(["solar", "panel", "the", "7", "price", "offer"], k=rng.randint(8, 70))
+        content = [w not in ("the", "7") for w in words]
+        pairs = sum(words[i] == words[j] and content[i] for i in range(len(words)) for j in range(max(0, i - 30), i))
+        assert page_features(["x " + " ".join(words), " ".join(words)]).iloc[1]["recurrence"] == pytest.approx(pairs / 30 / max(sum(content), 1))
+    soup = " ".join(rng.choices("solar panel price cheap energy tariff compare offer".split(), k=90))
+    long_link = f'<a href="https://x.example/{"q" * 5000}">solar</a> ' * 9
+    stuffed = "Our heat pump is the heat pump for every heat pump buyer. " * 9
+    df = spark.createDataFrame([(1, soup), (2, stuffed), (3, long_link)], "id int, text string")
+    assert {r["id"] for r in spam_pages(df, "id", "text").where("spam").collect()} == {1, 2, 3}
+    true, without = spam.page_features, lambda texts: true(texts, lags=0)
+    f = pd.concat([true([soup, stuffed]), without([soup, stuffed])])
+    assert (f["recurrence"].iloc[:2] > 0.1).all() and not (f["recurrence"].iloc[2:] > 0).any()
+    assert (f["distinct_share"] < 0.3).all()  # so nothing but the autocorrelation makes them spam
+
+
 def test_features_dont_depend_on_the_batch():
     texts = [" ".join(ENGLISH), "a b a b a b a b", "", "Strom Strom günstig " * 20]
     together = page_features(texts)
     for i, t in enumerate(texts):
         assert page_features([t]).iloc[0].to_numpy() == pytest.approx(together.iloc[i].to_numpy())
-    assert page_features(["red blue green " * 30]).iloc[0]["lag_excess"] > 0.5
+    assert page_features(["red blue green " * 30]).iloc[0]["recurrence"] == pytest.approx(sum(90 - k for k in range(3, 31, 3)) / 90 / 30)
 
 
 def test_hazards_against_neighbouring_hazards(spark):

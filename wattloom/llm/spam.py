@@ -1,4 +1,4 @@
-"""Keyword-stuffed pages and link lists, told by how their terms recur and by the lack of function words."""
+"""Keyword-stuffed pages and link lists, told by how their terms recur and by lists of terms without function words."""
 
 from __future__ import annotations
 
@@ -23,102 +23,73 @@ FUNCTION_WORDS = frozenset(
     l d qu n s c j""".split()
 )
 
-TAG = re.compile(r"<[^<>]{0,2000}>|&[a-z]+;", re.I)
-MARKDOWN_LINK = re.compile(r"\[([^\[\]]{0,300})\]\(([^()\s]{0,2000})\)")
-URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
-TOKEN = re.compile(r"[^\W_]+(?:[.,:][^\W_]+)*")
+LINK = re.compile(r"<[^<>]*>|\]\([^()\s]*\)|(?:https?://|www\.)\S+", re.I)
+TOKEN = re.compile(r"[^\W_]+")
 CAMEL = re.compile(r"(?<=[a-zß-ÿ])(?=[A-Z])")
 
-FEATURES = ("words", "link_share", "function_share", "listed_share", "number_share", "short_gap_share", "lag_excess", "regularity")
+FEATURES = ("words", "link_share", "function_share", "number_share", "listed_share", "distinct_share", "gap_share", "recurrence")
 
 
-def page_words(text: str) -> tuple[list[str], int, int]:
-    """The words that a reader sees, the number of links, and the signs that make up links."""
-    links = [m.span() for m in TAG.finditer(text)]
-    signs = sum(b - a for a, b in links)
-    visible = TAG.sub(" ", text)
-    marked = MARKDOWN_LINK.findall(visible)
-    signs += sum(len(x[1]) + 4 for x in marked)
-    visible = MARKDOWN_LINK.sub(r"\1 ", visible)
-    bare = URL.findall(visible)
-    signs += sum(map(len, bare))
-    visible = CAMEL.sub(" ", URL.sub(" ", visible))
-    count = len(marked) + len(bare) + sum("href" in text[a:b] for a, b in links)
-    return TOKEN.findall(visible.casefold()), count, signs
+def page_features(texts: Sequence[str], lags: int = 30, window: int = 24) -> pd.DataFrame:
+    """A row of ``FEATURES`` for each text, computed over all of a batch's words at once.
 
-
-def page_features(texts: Sequence[str], lags: int = 30, near: int = 40, window: int = 24) -> pd.DataFrame:
-    """A row of ``FEATURES`` for each text, computed over all of a batch's words at once."""
-    pages = [page_words(t) for t in texts]
-    n = np.array([len(p[0]) for p in pages], dtype=np.int64)
+    Words are those of the source: those of links and tags take part, so a list of links recurs as one of keywords does.
+    ``recurrence`` is the positional autocorrelation of the words that carry content (neither numbers nor function words),
+    averaged over the window of 1 to ``lags``; ``gap_share`` how many of them recur within a gap of that window;
+    ``listed_share`` the share of words in whose surroundings function words and numbers are all but absent, and
+    ``distinct_share`` how many of the words that carry content differ.
+    """
+    pages = [TOKEN.findall(CAMEL.sub(" ", t).casefold()) for t in texts]
+    n = np.fromiter(map(len, pages), dtype=np.int64, count=len(texts))
     total = int(n.sum())
     out = pd.DataFrame(0.0, index=range(len(texts)), columns=list(FEATURES))
-    size = np.maximum(np.fromiter((len(t) for t in texts), dtype=float, count=len(texts)), 1)
     out["words"] = n
-    out["link_share"] = np.array([p[2] for p in pages]) / size
+    out["link_share"] = [sum(m.end() - m.start() for m in LINK.finditer(t)) / max(len(t), 1) for t in texts]
     if not total:
         return out
-    words = [w for p in pages for w in p[0]]
-    code, names = pd.factorize(np.array(words, dtype=object))
+    code, names = pd.factorize(np.array([w for p in pages for w in p], dtype=object))
     doc = np.repeat(np.arange(len(texts)), n)
     starts = np.r_[0, np.cumsum(n)[:-1]]
-    pos = np.arange(total) - starts[doc]
-    number_of = np.fromiter((w[0].isdigit() for w in names), dtype=bool, count=len(names))
-    function_of = np.fromiter((w in FUNCTION_WORDS for w in names), dtype=bool, count=len(names))
-    number, function = number_of[code], function_of[code]
+    number = np.fromiter((w[0].isdigit() for w in names), dtype=bool, count=len(names))[code]
+    function = np.fromiter((w in FUNCTION_WORDS for w in names), dtype=bool, count=len(names))[code]
     content = ~number & ~function
     per_doc = lambda x: np.bincount(doc, weights=x, minlength=len(texts))
-    letters = np.maximum(per_doc(~number), 1)
+    carrying = np.maximum(per_doc(content), 1)
     out["number_share"] = per_doc(number) / np.maximum(n, 1)
-    out["function_share"] = per_doc(function) / letters
+    out["function_share"] = per_doc(function) / np.maximum(per_doc(~number), 1)
 
-    # words in whose surroundings function words and numbers are all but absent: lists of terms
     sums = lambda x: np.r_[0, np.cumsum(x)]
     lo = np.maximum(np.arange(total) - window // 2, starts[doc])
     hi = np.minimum(np.arange(total) + window // 2 + 1, starts[doc] + n[doc])
     f, m = sums(function), sums(number)
-    width = hi - lo
-    listed = ((f[hi] - f[lo]) <= 0.1 * width) & ((m[hi] - m[lo]) <= 0.25 * width)
+    listed = ((f[hi] - f[lo]) <= 0.1 * (hi - lo)) & ((m[hi] - m[lo]) <= 0.25 * (hi - lo))
     out["listed_share"] = per_doc(listed) / np.maximum(n, 1)
-
-    # recurrence gaps of the terms that carry content
-    order = np.lexsort((pos, code, doc))
-    same = (doc[order][1:] == doc[order][:-1]) & (code[order][1:] == code[order][:-1])
-    gap = np.zeros(total)
-    gap[order[1:][same]] = (pos[order][1:] - pos[order][:-1])[same]
-    again = content & (gap > 0)
-    carrying = np.maximum(per_doc(content), 1)
-    out["short_gap_share"] = per_doc(again & (gap <= near)) / carrying
-    mean = per_doc(np.where(again, gap, 0)) / np.maximum(per_doc(again), 1)
-    square = per_doc(np.where(again, gap**2, 0)) / np.maximum(per_doc(again), 1)
-    spread = np.sqrt(np.maximum(square - mean**2, 0))
-    out["regularity"] = np.where(mean > 0, 1 - np.minimum(spread / np.maximum(mean, 1e-9), 1), 0)
-
-    # positional autocorrelation of content terms over lag windows, beyond what their frequencies make likely
-    best = np.zeros(len(texts))
-    for k in range(1, min(lags, int(n.max()) - 1) + 1):
-        hit = (code[k:] == code[:-k]) & (doc[k:] == doc[:-k]) & content[k:]
-        best = np.maximum(best, np.bincount(doc[k:], weights=hit, minlength=len(texts)) / carrying)
-    term_counts = np.bincount(np.unique(doc.astype(np.int64) * len(names) + code, return_inverse=True)[1])
-    first = np.unique(doc.astype(np.int64) * len(names) + code)
-    usable = ~number_of[first % len(names)] & ~function_of[first % len(names)]
-    chance = np.bincount(first // len(names), weights=np.where(usable, term_counts.astype(float) ** 2, 0), minlength=len(texts)) / carrying**2
-    out["lag_excess"] = np.maximum(best - chance, 0)
+    kinds = np.unique(doc[content] * np.int64(len(names)) + code[content]) // len(names)
+    out["distinct_share"] = np.bincount(kinds, minlength=len(texts)) / carrying
+
+    # a word's page is part of what has to agree, so no lag reaches from one page into the next
+    place = np.where(content, doc * np.int64(len(names)) + code, -1 - np.arange(total))
+    again = np.zeros(total, dtype=np.int16)
+    for k in range(1, min(lags, total - 1) + 1):
+        again[k:] += place[k:] == place[:-k]
+    out["recurrence"] = per_doc(again) / max(lags, 1) / carrying
+    out["gap_share"] = per_doc(again > 0) / carrying
     return out
 
 
-def spam_pages(df: DataFrame, id_col: str, text: str, least_words: int = 8, listed: float = 0.6, stuffed: float = 0.6, linked: float = 0.6, regular: float = 0.35) -> DataFrame:
+def spam_pages(
+    df: DataFrame, id_col: str, text: str, least_words: int = 8, regular: float = 0.065, recurring: float = 0.012, listed: float = 0.6, distinct: float = 0.35, linked: float = 0.38,
+) -> DataFrame:
     """(id, the ``FEATURES``, spam, reason) of every page.
 
-    ``link_list``: links make up ``linked`` of the signs, or two fifths of them with the rest a list of terms.
-    ``term_list``: the share ``listed`` of the words stands among other content words, with next to no function words or
-    numbers. ``stuffed``: the share ``stuffed`` of the content words recurs within a short gap, in sentences or not.
-    ``regular``: half of them do, and the positional autocorrelation at some lag exceeds what the words' frequencies make
-    likely by ``regular``: the repetition has a fixed step. Pages of which a third or more are numbers are readings, not
-    spam. Everything else has a null reason.
+    ``stuffed``: the autocorrelation of the content words reaches ``regular``, with most of them back within a gap of the lag
+    window, in sentences or not. Otherwise a page is spam if the share ``listed`` of its words stands among other content
+    words, next to no function words or numbers, and either the autocorrelation reaches ``recurring``: a ``link_list`` if
+    links make up the share ``linked`` of the signs, else a ``term_list``; or ``distinct`` of its content words differ: a
+    ``noun_list``. Pages of which a third or more are numbers are readings, not spam. Everything else has a null reason.
 
-    Null and empty texts, and pages without words and links, aren't spam. Repeated pages each get a row; an empty table
-    gives none. No shuffle takes place; extra columns are ignored.
+    Null and empty texts, and pages of fewer than ``least_words`` words, aren't spam. Repeated pages each get a row; an
+    empty table gives none. No shuffle takes place; extra columns are ignored.
     """
     kind = dict(df.dtypes)[id_col]
 
@@ -127,13 +98,12 @@ def spam_pages(df: DataFrame, id_col: str, text: str, least_words: int = 8, list
             for at in slices(pdf["text"], 1 << 20):
                 part = pdf.iloc[at].reset_index(drop=True)
                 f = page_features(part["text"].fillna("").tolist())
-                readings = f["number_share"] >= 0.33
-                enough = f["words"] >= least_words
-                link = (f["link_share"] >= linked) | ((f["link_share"] >= 0.38) & (f["listed_share"] >= 0.5))
-                terms = enough & ~readings & (f["listed_share"] >= listed)
-                dense = enough & ~readings & (f["short_gap_share"] >= stuffed)
-                stepped = enough & ~readings & (f["short_gap_share"] >= 0.5) & (f["lag_excess"] >= regular)
-                reason = np.select([link, terms, stepped, dense], ["link_list", "term_list", "regular", "stuffed"], default="")
+                asked = (f["words"] >= least_words) & (f["number_share"] < 0.33)
+                terms = asked & (f["listed_share"] >= listed)
+                again = terms & (f["recurrence"] >= recurring)
+                stuffed = asked & ~terms & (f["recurrence"] >= regular) & (f["gap_share"] >= 0.5)
+                cases = [again & (f["link_share"] >= linked), again, terms & (f["distinct_share"] >= distinct), stuffed]
+                reason = np.select(cases, ["link_list", "term_list", "noun_list", "stuffed"], default="")
                 yield f.assign(**{id_col: part[id_col], "reason": pd.Series(reason).replace("", None), "spam": reason != ""})[[id_col, *FEATURES, "spam", "reason"]]
 
     columns = ", ".join(f"{c} double" for c in FEATURES)
