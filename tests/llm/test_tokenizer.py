@@ -62,14 +62,20 @@ def test_real_documents(reference):
 def test_the_transducer_makes_the_ids(reference, monkeypatch):
     """Tokens that were emitted before they are settled, or joined against the merge list, would differ."""
     text = "".join(random.Random(1).choices(["th", "ing", "er", "station", "a"], k=3000))
-    encode = lambda: BytePairTransducer(transducer().rules.ranks, block=50).encode(text)
-    assert encode() == reference.encode_ordinary(text)
+
+    def same() -> bool:
+        try:
+            return BytePairTransducer(transducer().rules.ranks, block=50).encode(text) == reference.encode_ordinary(text)
+        except IndexError:  # no token agrees with what went out too early
+            return False
+
+    assert same()
     with monkeypatch.context() as m:
         m.setattr(WordTransducer, "_settled", lambda self: len(self.held))
-        assert encode() != reference.encode_ordinary(text)
+        assert not same()
     with monkeypatch.context() as m:
         m.setattr(MergeList, "agree", lambda self, a, b: True)
-        assert encode() != reference.encode_ordinary(text)
+        assert not same()
 
 
 def test_table_round_trip(spark):
