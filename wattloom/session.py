@@ -23,12 +23,14 @@ def build_session(master: str = "local[8]", app: str = "wattloom", shuffle_parti
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names in ``spark.checkpoint.dir``.
+    """Cut the lineage in the folder that the session names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, as in tests.
+    Where it names none, a session on one machine, as in tests, gets a temporary folder; a cluster has to name a shared one.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
