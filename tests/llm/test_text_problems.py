@@ -12,7 +12,7 @@ from wattloom.llm.languages import train_languages
 from wattloom.llm.leakage import leaked_items, tile
 from wattloom.llm.pairs import is_copy, is_empty, is_refusal, pair_defects, truncated_answers
 from wattloom.llm.spam import page_features, spam_pages
-from wattloom.llm.truncation import incomplete_endings, length_hazards, train_endings
+from wattloom.llm.truncation import context_counts, end_probabilities, endings, length_hazards, with_cuts
 
 ENGLISH = ["The zone reached its peak in the evening and fell again at night.", "Demand was lower on the weekend than on working days.", "The meter of the house reported a gap of two hours.", "All readings were compared with those of the year before."]
 FRENCH = ["La zone a atteint son maximum dans la soirée puis la charge est retombée.", "La demande était plus faible pendant la fin de semaine.", "Le compteur de la maison a signalé une lacune de deux heures."]
@@ -59,12 +59,52 @@ def test_truncation(spark):
     full, lists, cut = answers()
     rows = [(i, "s", "q", a) for i, a in enumerate([*full, *lists, *cut, "Zone 7", "Zone 8", "Zone 9", "The meter of the house reported a g…", "I cannot answer th", None])]
     df = spark.createDataFrame(rows, "id int, src string, q string, a string").withColumns({"source": F.lit(1), "excess": F.lit("x"), "length": F.lit(None)})
-    model = train_endings(df, "a")
-    assert incomplete_endings(["Demand was lower on the week", "Demand was lower on the weekend than on working days. [E2]", "x"], np.zeros(3), model)[:2].tolist() == [True, False]
-    got = {r["id"] for r in truncated_answers(df, "id", "q", "a", "src", model).where("truncated").collect()}
+    got = {r["id"] for r in truncated_answers(df, "id", "q", "a", "src").where("truncated").collect()}
     first = len(full) + len(lists)
     assert got == {*range(first, first + len(cut)), len(rows) - 3}
-    assert truncated_answers(df.limit(0), "id", "q", "a", "src", model).count() == 0
+    assert truncated_answers(df.limit(0), "id", "q", "a", "src").count() == 0
+
+
+def test_context_counts_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab \n.", k=rng.randint(0, 30))) for _ in range(60)] + ["abab ab", "abab ab", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    asked = df.select(endings("t").alias("e")).where("e.c12 is not null").select(F.explode(F.array("e.c12", "e.c8", "e.c5")).alias("context")).distinct()
+    got = {r["context"]: (r["seen"], r["ends"]) for r in context_counts(df, "t", asked).collect()}
+    shorn = [t.rstrip() for t in texts if t]
+    for r in df.select("t", endings("t").alias("e")).where("e.c12 is not null").collect():
+        padded = lambda t: "\2" * 12 + t
+        for order, c in ((12, r["e"]["c12"]), (8, r["e"]["c8"]), (5, r["e"]["c5"])):
+            context = padded(r["t"].rstrip())[-order:]
+            places = [(t, i) for t in map(padded, shorn) for i in range(13, len(t) + 1) if t[i - order : i] == context]
+            assert got[c] == (len(places), sum(i == len(t) or t[i] == "\n" for t, i in places))
+
+
+def unique_texts(n, seed, length=None):
+    """Texts that have no contexts in common: what follows is known of none."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8))
+    out = [" ".join(word() for _ in range(rng.randint(20, 60))) for _ in range(n)]
+    return [t[:length] if length and len(t) > length else t + "." for t in out]
+
+
+def test_the_hazard_decides_where_endings_tell_nothing(spark):
+    """The same strange endings are cuts at a significant length, and none where the hazards are even."""
+    rows = [(i, "limited", t) for i, t in enumerate(unique_texts(600, 1, 300))] + [(1000 + i, "free", t) for i, t in enumerate(unique_texts(600, 2))] + [(2000, "free", unique_texts(1, 3)[0][:-1])]
+    df = spark.createDataFrame(rows, "id int, src string, t string")
+    want = {i for i, s, t in rows if s == "limited" and len(t) == 300 and not t.endswith(".")}
+    assert len(want) > 100 and {r["id"] for r in with_cuts(df, "t", "src", "id").where("cut").collect()} == want
+    alone = df.where("not (src = 'limited' and length(t) = 300)").unionByName(df.where("id = %d" % min(want)))
+    assert with_cuts(alone, "t", "src", "id").where("cut").count() == 0
+
+
+def test_large_tables_are_joined_by_a_shuffle_with_the_same_rows(spark, monkeypatch):
+    full, lists, cut = answers()
+    df = spark.createDataFrame([(i, "s" if i % 3 else None, a) for i, a in enumerate([*full, *lists, *cut, None, ""])], "id int, src string, t string")
+    cuts = lambda: {(r["id"], r["cut"], r["at_limit"]) for r in with_cuts(df, "t", "src", "id").collect()}
+    broadcast = cuts()
+    monkeypatch.setattr("wattloom.operators.joins.fits", lambda *a: False)
+    assert cuts() == broadcast and len(broadcast) == len(full) + len(lists) + len(cut) + 2
 
 
 def test_hazards_single_out_a_limit(spark):
@@ -83,7 +123,7 @@ def test_defects(spark, languages):
     special = [("empty", " "), ("copy", "Question: " + q), ("refusal", "I cannot help with this request."), ("truncated", cut[0]), ("other_language", " ".join(FRENCH)), (None, f'The note of the operator reads "{FRENCH[0]}"'), (None, "Friday"), (None, q + " " + ENGLISH[0])]
     rows = [(i, q, a, "s") for i, a in enumerate([*full, *lists, *["Friday"] * 5])] + [(1000 + i, q, a, "s") for i, (_, a) in enumerate(special)] + [(2000, None, ENGLISH[0], None), (2001, q, None, "s")]
     df = spark.createDataFrame(rows, "id int, q string, a string, src string").withColumn("question", F.lit(0))
-    got = {r["id"]: r["defect"] for r in pair_defects(df, "id", "q", "a", "src", languages, train_endings(df, "a")).collect()}
+    got = {r["id"]: r["defect"] for r in pair_defects(df, "id", "q", "a", "src", languages).collect()}
     assert [got[1000 + i] for i in range(len(special))] == [d for d, _ in special]
     assert got[2000] is None and got[2001] == "empty" and not any(got[i] for i in range(len(full) + len(lists)))
 

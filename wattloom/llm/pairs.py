@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.grams import slices
 from wattloom.llm.languages import LanguageModel
-from wattloom.llm.truncation import EndingModel, bare, incomplete_endings, with_excess
+from wattloom.llm.truncation import bare, with_cuts
 
 EMPTY, TRUNCATED, REFUSAL, COPY, OTHER_LANGUAGE = "empty", "truncated", "refusal", "copy", "other_language"
 
@@ -105,9 +105,8 @@ def is_refusal(answer: str) -> bool:
 
 
 def pair_defects(
-    df: DataFrame, id_col: str, question: str, answer: str, source: str, languages: LanguageModel, endings: EndingModel,
-    margin: float = 8.0,
-) -> DataFrame:
+    df: DataFrame, id_col: str, question: str, answer: str, source: str, languages: LanguageModel, margin: float = 8.0
+) -> DataFrame:
     """(id, source, defect) of every pair; defect is null for a sound one.
 
     A pair has the first that holds of: ``empty``; ``copy`` of the question; ``refusal``; ``truncated``, by the likelihood
@@ -115,19 +114,19 @@ def pair_defects(
     and answer (without quotations) differ by ``margin`` nats or more.
 
     Null answers are empty; a null question is no reason for a defect; repeated rows each get a row; an empty table gives
-    none. One pass over the pairs, no shuffle but that of the lengths; extra columns are ignored.
+    none. The pairs aren't shuffled as long as the tables of limits and endings fit into every task; extra columns are ignored.
     """
-    rows = df.select(F.col(id_col), F.col(source).alias("source"), F.col(question).alias("question"), F.col(answer).alias("answer"), F.length(answer).cast("long").alias("length"))
-    rows = with_excess(rows, "source", "length").drop("length")
+    rows = df.select(F.col(id_col), F.col(source).alias("source"), F.col(question).alias("question"), F.col(answer).alias("answer"))
+    rows = with_cuts(rows, "answer", "source", id_col)
     types = dict(df.dtypes)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in slices(pdf["answer"]):
                 part = pdf.iloc[at]
-                yield part[[id_col, "source"]].assign(defect=defects(part["question"].tolist(), part["answer"].tolist(), part["excess"].fillna(0.0).to_numpy()))
+                yield part[[id_col, "source"]].assign(defect=defects(part["question"].tolist(), part["answer"].tolist(), part["cut"].to_numpy(dtype=bool)))
 
-    def defects(questions: list, answers: list, excess: np.ndarray) -> list[str | None]:
+    def defects(questions: list, answers: list, cut: np.ndarray) -> list[str | None]:
         found: list[str | None] = [None] * len(answers)
         rest = []
         for i, (q, a) in enumerate(zip(questions, answers, strict=True)):
@@ -144,7 +143,6 @@ def pair_defects(
         if not rest:
             return found
         texts = [answers[i] for i in rest]
-        cut = incomplete_endings(texts, excess[rest], endings)
         likely = languages.log_likelihood([QUOTED.sub(" ", bare(t)) for t in texts])
         several, of = np.unique([questions[i] or "" for i in rest], return_inverse=True)
         asked = languages.log_likelihood(several.tolist())[of]
@@ -153,7 +151,7 @@ def pair_defects(
         sure = ordered[:, -1] - ordered[:, -2] > 2.0
         odds = likely.max(axis=1) - likely[np.arange(len(rest)), own]
         for j, i in enumerate(rest):
-            if cut[j]:
+            if cut[i]:
                 found[i] = TRUNCATED
             elif sure[j] and odds[j] >= margin:
                 found[i] = OTHER_LANGUAGE
@@ -162,28 +160,26 @@ def pair_defects(
     return rows.mapInPandas(classify, f"`{id_col}` {types[id_col]}, source {types[source]}, defect string")
 
 
-def truncated_answers(df: DataFrame, id_col: str, question: str, answer: str, source: str, endings: EndingModel) -> DataFrame:
-    """(id, source, truncated, at_limit) of every answer.
+def truncated_answers(df: DataFrame, id_col: str, question: str, answer: str, source: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, ``keep``, source, truncated, at_limit) of every answer.
 
     ``at_limit``: the length's hazard in its source is significantly above that of the neighbouring lengths, with most of
-    the answers of that length in excess; there an ending counts as incomplete more readily. Answers that are empty, refuse
-    or copy the question aren't truncated. Null answers aren't either; repeated rows each get a row; an empty table gives
-    none; extra columns are ignored.
+    the answers of that length in excess. Answers that are empty, refuse or copy the question aren't truncated. Null
+    answers aren't either; repeated rows each get a row; an empty table gives none; other columns are ignored.
     """
-    rows = df.select(F.col(id_col), F.col(source).alias("source"), F.col(question).alias("question"), F.col(answer).alias("answer"), F.length(answer).cast("long").alias("length"))
-    rows = with_excess(rows, "source", "length").drop("length")
+    rows = df.select(F.col(id_col), *keep, F.col(source).alias("source"), F.col(question).alias("question"), F.col(answer).alias("answer"))
+    rows = with_cuts(rows, "answer", "source", id_col)
     types = dict(df.dtypes)
+    # only the texts of cuts are looked at again
+    rows = rows.withColumns({"question": F.when(F.col("cut"), F.col("question")), "answer": F.when(F.col("cut"), F.col("answer"))})
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in slices(pdf["answer"]):
-                part = pdf.iloc[at]
-                answers = part["answer"].fillna("").tolist()
-                excess = part["excess"].fillna(0.0).to_numpy()
-                cut = incomplete_endings(answers, excess, endings)
-                for j in np.flatnonzero(cut):
-                    q, a = part["question"].iloc[j], answers[j]
-                    cut[j] = not (is_empty(a) or (q and is_copy(WORD.findall(q.casefold()), WORD.findall(a.casefold()))) or is_refusal(a))
-                yield part[[id_col, "source"]].assign(truncated=cut, at_limit=excess > 0.5)
-
-    return rows.mapInPandas(judge, f"`{id_col}` {types[id_col]}, source {types[source]}, truncated boolean, at_limit boolean")
+            cut = pdf["cut"].to_numpy(dtype=bool).copy()
+            for j in np.flatnonzero(cut):
+                q, a = pdf["question"].iloc[j], pdf["answer"].iloc[j]
+                cut[j] = not (is_empty(a) or (q and is_copy(WORD.findall(q.casefold()), WORD.findall(a.casefold()))) or is_refusal(a))
+            yield pdf[[id_col, *keep, "source", "at_limit"]].assign(truncated=cut)
+
+    kept = "".join(f", `{c}` {types[c]}" for c in keep)
+    return rows.mapInPandas(judge, f"`{id_col}` {types[id_col]}{kept}, source {types[source]}, truncated boolean, at_limit boolean")

@@ -11,7 +11,7 @@ from wattloom.llm.pairs import pair_defects, truncated_answers
 from wattloom.llm.quantiles import merge_sketches, percentiles, tail_sketches
 from wattloom.llm.spam import spam_pages
 from wattloom.llm.tokenizer import decoded, encoded
-from wattloom.llm.truncation import length_hazards, train_endings
+from wattloom.llm.truncation import length_hazards
 from wattloom.sources.tables import table
 
 LEVELS = (0.5, 0.9, 0.95, 0.99)
@@ -44,7 +44,7 @@ def p1_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "query_results")
     languages = train_languages(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
-    return pair_defects(results, "result_id", "question", "answer", "exp_id", languages, train_endings(results, "answer")).withColumnRenamed("source", "exp_id")
+    return pair_defects(results, "result_id", "question", "answer", "exp_id", languages).withColumnRenamed("source", "exp_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = table(spark, sf_dir, "query_results")
-    return truncated_answers(results, "result_id", "question", "answer", "exp_id", train_endings(results, "answer"))
+    return truncated_answers(table(spark, sf_dir, "query_results"), "result_id", "question", "answer", "exp_id", ["pipeline"])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +61,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of cut answers by pipeline and experiment."""
-    pipelines = table(spark, sf_dir, "query_results").select("result_id", "pipeline", "exp_id")
-    cut = cut_answers(spark, sf_dir).drop("source")
-    return pipelines.join(cut, "result_id").groupBy("pipeline", "exp_id").agg(
+    return cut_answers(spark, sf_dir).groupBy("pipeline", F.col("source").alias("exp_id")).agg(
         F.count("*").alias("answers"), F.sum(F.col("truncated").cast("long")).alias("cut"),
         F.sum((F.col("truncated") & F.col("at_limit")).cast("long")).alias("cut_at_limit"), F.avg(F.col("truncated").cast("double")).alias("share"),
     )

@@ -1,21 +1,30 @@
-"""Texts cut off by field limits or on their way: length hazards and end-of-text likelihood."""
+"""Texts cut off by field limits or on their way: length hazards, and the likelihood of an end of text.
+
+The hazard of its length says how likely a text was cut before its ending is looked at; the ending says how much more or
+less likely that is. At a significant length an ending that no other text bears out is a cut; elsewhere it takes a context
+after which texts are known to go on.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.llm.grams import batch_codes, rolling_hashes, slices
+from wattloom.operators.joins import lookup_join
 from wattloom.session import checkpointed
 
-#: Tables of contexts: the whole of a text up to that many signs, else its last 8 or 5.
-WHOLE, ORDERS, BITS = 12, (12, 8, 5), 18
+#: Signs of the contexts of an ending. The start of a text is part of a context that is longer than the text.
+ORDERS = (12, 8, 5)
+#: Bits of the map that tells which contexts can be among those asked for; others aren't counted. 2**24 bits are 2 MB.
+MAP_BITS = 24
+#: What is read of a text's end: citations behind the last sentence and the longest context, with room.
+TAIL = 512
 
 CITATIONS = re.compile(r"(?:\s*\[[A-Z]\d+\])+\s*$")
 CUT_MARK = re.compile(r"(?:\.\.\.|…|[\[(<]\s*(?:cut|truncated|trunc|snip|more|continued)\.?\s*[\])>])\s*$", re.I)
@@ -65,17 +74,11 @@ def length_hazards(df: DataFrame, source: str, length: str, reach: int = 20, fdr
     )
 
 
-def with_excess(rows: DataFrame, source: str, length: str, broadcast_rows: int = 200_000) -> DataFrame:
-    """Rows with the ``excess`` of their length in their source, null where it isn't significant.
-
-    The significant lengths of all sources are counted first: ``broadcast_rows`` or fewer are sent to all tasks, and the
-    texts then aren't shuffled; more are joined by source and length.
-    """
-    limits = length_hazards(rows, source, length).where("significant").select(F.coalesce("source", F.lit("")).alias("s"), F.col("length").alias("l"), "excess")
-    limits = checkpointed(limits)
-    if limits.count() <= broadcast_rows:
-        limits = F.broadcast(limits)
-    return rows.join(limits, (F.coalesce(source, F.lit("")) == F.col("s")) & (F.col(length) == F.col("l")), "left").drop("s", "l")
+def with_excess(rows: DataFrame, source: str, length: str, key: str) -> DataFrame:
+    """Rows with the ``excess`` of their length in their source, 0 where it isn't significant; ``key`` spreads hot lengths."""
+    limits = length_hazards(rows, source, length).where("significant").select(F.coalesce("source", F.lit("")).alias("_source"), F.col("length").alias("_limit"), "excess")
+    keyed = rows.withColumns({"_source": F.coalesce(source, F.lit("")), "_limit": F.col(length).cast("long")})
+    return lookup_join(keyed, checkpointed(limits), ["_source", "_limit"], key).drop("_source", "_limit").withColumn("excess", F.coalesce("excess", F.lit(0.0)))
 
 
 def bare(text: str) -> str:
@@ -84,38 +87,58 @@ def bare(text: str) -> str:
     return CITATIONS.sub("", text) if text.endswith("]") else text
 
 
-@dataclass
-class EndingModel:
-    """Of each hashed context (the last signs before a position): how often it occurs, and how often a text ends there.
+def is_open(text: str) -> bool:
+    """Whether a text ends without closing punctuation and without a mark of the cut."""
+    shorn = bare(text)
+    return bool(shorn) and not CUT_MARK.search(text) and not CLOSED.search(shorn)
 
-    The first table holds beginnings of texts only, which tells short but complete texts from cut ones.
-    """
 
-    seen: np.ndarray
-    ends: np.ndarray
+def context_hashes(codes: np.ndarray) -> list[np.ndarray]:
+    """For each order a hash of 61 bits of the context that ends at each sign; orders don't share values."""
+    return [(h << 2) | i for i, h in enumerate(rolling_hashes(codes, ORDERS, 61))]
 
-    def end_probability(self, texts: Sequence[str], support: int = 4) -> np.ndarray:
-        """Share of the occurrences of a text's last context at which a text (or line) ends, without this one itself."""
-        codes, ends = batch_codes(texts, max(ORDERS))
-        short = np.diff(np.r_[0, ends]) - max(ORDERS) <= WHOLE
-        out = np.full(len(texts), np.nan)
-        last = np.maximum(ends - 1, 0)
-        for i, (order, h) in enumerate(zip(ORDERS, rolling_hashes(codes, ORDERS, BITS), strict=True)):
-            at = (i << BITS) + h[last]
-            n, e = self.seen[at] - 1, self.ends[at] - 1
-            # a short text that no other begins with is a value of its own rather than the start of a sentence
-            enough, unseen = (short, 1.0) if i == 0 else ((n >= support) | (order == ORDERS[-1]), 0.0)
-            open_ = np.isnan(out) & enough
-            out[open_] = np.where(n[open_] > 0, np.maximum(e[open_], 0) / np.maximum(n[open_], 1), unseen)
-        return out
 
+def _endings(tails: pd.Series) -> pd.DataFrame:
+    texts = tails.fillna("").tolist()
+    marks = [CUT_MARK.search(t) for t in texts]
+    shorn = [bare(t) for t in texts]
+    found = {"c12": [None] * len(texts), "c8": [None] * len(texts), "c5": [None] * len(texts), "whole": [None] * len(texts)}
+    asked = [i for i, t in enumerate(shorn) if t and not marks[i] and not CLOSED.search(t)]
+    codes, ends = batch_codes([shorn[i] for i in asked], max(ORDERS))
+    if asked:
+        columns = [h[ends - 1].tolist() for h in context_hashes(codes)] + [(np.diff(np.r_[0, ends]) - max(ORDERS) <= max(ORDERS)).tolist()]
+        for name, values in zip(found, columns, strict=True):
+            for i, v in zip(asked, values, strict=True):
+                found[name][i] = v
+    marked = [bool(m) and any(c.isalnum() for c in t[: m.start()]) for m, t in zip(marks, texts, strict=True)]
+    return pd.DataFrame({**{k: pd.array(v, dtype="boolean" if k == "whole" else "Int64") for k, v in found.items()}, "marked": marked}, index=tails.index)
+
+
+def endings(text: Column | str) -> Column:
+    """How a text ends: whether a mark of the cut stands there, and, if it's left open, the contexts of its end.
+
+    Closed punctuation, with citations behind it or not, is no open end; the contexts are null then, as for null and empty texts.
+    """
+    read = F.pandas_udf(_endings, "struct<c12: bigint, c8: bigint, c5: bigint, whole: boolean, marked: boolean>")
+    return read(F.right(F.col(text) if isinstance(text, str) else text, F.lit(TAIL)))
 
-def train_endings(df: DataFrame, text: str) -> EndingModel:
-    """Count contexts and ends over all texts. Each task adds up tables of fixed size, and Spark adds these."""
+
+def context_counts(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
+    """(context, seen, ends): how often each of the ``asked`` contexts occurs in all texts, and how often a text or line ends there.
+
+    Counts are exact. A map of bits of fixed size keeps contexts that nobody asked for from being counted; the few that
+    pass it by chance find no one to join. Each task adds up slices of its texts, and Spark adds these.
+    """
+    mask = (1 << MAP_BITS) - 1
+    bit = F.shiftright("context", 2).bitwiseAND(F.lit(mask))
+    words = asked.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast((shiftright(context, 2) & {mask}) & 63 as int))").alias("bit"))
+    filled = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    bits[filled["word"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(ORDERS) << BITS
-        seen, ends_ = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        bits = shared.value
         for pdf in batches:
             texts = pdf["text"].tolist()
             for part in slices(texts):
@@ -124,48 +147,50 @@ def train_endings(df: DataFrame, text: str) -> EndingModel:
                 stop = np.zeros(len(codes), dtype=bool)
                 stop[ends[ends > 0] - 1] = True
                 stop[:-1] |= codes[1:] == 10
-                stop &= inside
-                start = np.r_[0, ends[:-1]] + max(ORDERS)
-                begins = np.zeros(len(codes) + WHOLE + 1, dtype=np.int64)
-                np.add.at(begins, start, 1)
-                np.add.at(begins, np.minimum(start + WHOLE, ends), -1)
-                begins = np.cumsum(begins[: len(codes)]) > 0
-                for j, h in enumerate(rolling_hashes(codes, ORDERS, BITS)):
-                    here, over = (inside & begins, stop & begins) if j == 0 else (inside, stop)
-                    seen[j << BITS : (j + 1) << BITS] += np.bincount(h[here], minlength=1 << BITS)
-                    ends_[j << BITS : (j + 1) << BITS] += np.bincount(h[over], minlength=1 << BITS)
-        at = np.nonzero(seen)[0]
-        yield pd.DataFrame({"bucket": at, "seen": seen[at], "ends": ends_[at]})
-
-    table = (
-        df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-        .mapInPandas(count, "bucket bigint, seen bigint, ends bigint")
-        .groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
-        .toPandas()
-    )
-    model = EndingModel(np.zeros(len(ORDERS) << BITS, dtype=np.int64), np.zeros(len(ORDERS) << BITS, dtype=np.int64))
-    model.seen[table["bucket"]], model.ends[table["bucket"]] = table["seen"], table["ends"]
-    return model
-
-
-def incomplete_endings(texts: Sequence[str], excess: np.ndarray, model: EndingModel, rare: float = 0.05, lenient: float = 0.15) -> np.ndarray:
-    """Whether each text stops inside a word or sentence.
-
-    A mark of the cut decides at once, and so does closed punctuation. Any other ending is incomplete if texts rarely end
-    in that context: below ``rare`` in general, below ``lenient`` at lengths where most texts were cut (``excess``), short
-    lengths apart, which values like names and numbers have in common.
+                for h in context_hashes(codes):
+                    at = (h >> 2) & mask
+                    hit = np.flatnonzero(inside & ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
+                    context, where = np.unique(h[hit], return_inverse=True)
+                    yield pd.DataFrame({"context": context, "seen": np.bincount(where, minlength=len(context)), "ends": np.bincount(where, weights=stop[hit], minlength=len(context)).astype(np.int64)})
+
+    texts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    return texts.mapInPandas(count, "context bigint, seen bigint, ends bigint").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+
+
+def end_probabilities(df: DataFrame, text: str, unseen: float, weight: float = 4.0, whole_unseen: float = 0.5) -> DataFrame:
+    """(c12, p_end): for each context of an open ending, the probability that a text ends there.
+
+    The share of the ends among a context's other occurrences in all texts, smoothed by that of the shorter contexts, as if
+    these were ``weight`` more occurrences, and last by ``unseen``. A text that lies whole within its context is only held
+    against the beginnings of others, smoothed by ``whole_unseen``: with nothing that begins with it, it may well be complete.
     """
-    shorn = [bare(t) for t in texts]
-    out = np.zeros(len(texts), dtype=bool)
-    ask = []
-    for i, (whole, t) in enumerate(zip(texts, shorn, strict=True)):
-        if not t:
-            continue
-        if CUT_MARK.search(whole):
-            out[i] = any(c.isalnum() for c in CUT_MARK.sub("", whole))
-        elif not CLOSED.search(t):
-            ask.append(i)
-    if ask:
-        p = model.end_probability([shorn[i] for i in ask])
-        out[ask] = p < np.where((excess[ask] > 0.5) & (np.array([len(shorn[i]) for i in ask]) > WHOLE), lenient, rare)
-    return out
+    asked = checkpointed(df.select(endings(text).alias("e")).where("e.c12 is not null").select("e.c12", "e.c8", "e.c5", "e.whole").dropDuplicates(["c12"]))
+    every = asked.select(F.explode(F.array("c12", "c8", "c5")).alias("context")).distinct()
+    counts = checkpointed(context_counts(df, text, every).join(every, "context", "left_semi"))
+    out = asked
+    for c in ("c5", "c8", "c12"):
+        side = counts.select(F.col("context").alias(c), F.greatest(F.col("seen") - 1, F.lit(0)).alias(f"n_{c}"), F.greatest(F.col("ends") - 1, F.lit(0)).alias(f"e_{c}"))
+        out = lookup_join(out, side, [c], "c12", 48)
+    smoothed = lambda c, p: (F.coalesce(F.least(f"e_{c}", f"n_{c}"), F.lit(0)) + weight * p) / (F.coalesce(F.col(f"n_{c}"), F.lit(0)) + weight)
+    general = smoothed("c12", smoothed("c8", smoothed("c5", F.lit(unseen))))
+    return out.select("c12", F.when(F.col("whole"), smoothed("c12", F.lit(whole_unseen))).otherwise(general).alias("p_end"))
+
+
+def with_cuts(rows: DataFrame, text: str, source: str, key: str, rare: float = 0.005, elsewhere: float = 0.5, surest: float = 0.98) -> DataFrame:
+    """``rows`` with ``cut``, whether the text stops inside a word or sentence, and ``at_limit``, where most of its length do.
+
+    A mark of the cut decides at once, and so does closed punctuation. For an open ending, the odds of a cut before it is
+    looked at are those of the excess of its length's hazard (``surest`` at most), or ``elsewhere`` at lengths without one.
+    They are multiplied by ``rare`` / p_end, where ``rare`` is the end probability at which an ending tells nothing. So an
+    ending of which nothing is known is a cut at a significant length and none elsewhere.
+
+    Null and empty texts aren't cut; repeated rows each get a row; an empty table gives none. ``key`` spreads hot lengths
+    and endings over tasks where the tables of limits or endings are too large to be sent to all of them.
+    """
+    prior = checkpointed(end_probabilities(rows, text, rare))
+    seen = with_excess(rows.withColumn("_length", F.length(text).cast("long")), source, "_length", key).withColumn("_e", endings(text))
+    keyed = seen.withColumns({"c12": F.col("_e.c12"), "_marked": F.col("_e.marked")}).drop("_e")
+    judged = lookup_join(keyed, prior, ["c12"], key, 24)
+    x = F.least("excess", F.lit(surest))
+    odds = F.greatest(x / (1 - x), F.lit(elsewhere)) * rare / F.col("p_end")
+    return judged.withColumns({"cut": F.coalesce(F.col("_marked"), F.lit(False)) | F.coalesce(odds > 1, F.lit(False)), "at_limit": F.col("excess") > 0.5}).drop("c12", "_marked", "p_end", "excess", "_length")
