@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import READINGS, at
-from wattloom.operators.impute import filled_readings
+from wattloom.operators.impute import METERS, filled_readings, household_attributes, mined_dependencies, step_medians, step_of
 from wattloom.operators import spikes
 from wattloom.operators.spikes import IMPOSSIBLE, SPIKE, STUCK, SpikeRule, flag_source, implausible_measures, implausible_readings, stuck_runs, wavelet_details
 
@@ -154,3 +154,51 @@ def test_empty_and_unverified(spark):
     rows.append((999, 1, at("2020-01-01T00:01"), None, 240.0, 2.0, 0.0, 1.0, 1.0))
     out = filled_readings(spark.createDataFrame(rows, HOUSE), "reading_id", "house_id", "datetime").where("reading_id = 999").first()
     assert out["global_active_power_source"] == "group:slot"  # the intensity tells nothing here, so it fills nothing
+
+
+def test_dependencies_are_found_not_given(spark):
+    """Against brute force on groups: power by current, the first circuit by the current's band and the second circuit."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(1500):
+        amps, two, three = float(rng.integers(10, 60)) / 10, float(rng.integers(0, 3)) * 20, float(rng.integers(0, 3)) * 30
+        one = 15.0 if amps > 2.5 and two > 0 else 0.0
+        rows.append((i, 1, at("2020-01-01T00:00") + dt.timedelta(minutes=i), amps * 0.24, 240.0, amps, one, two, three))
+    df = spark.createDataFrame(rows, HOUSE)
+    found = mined_dependencies(df, "house_id", list(METERS), household_attributes())
+    names = {t: {d.name for d in found if d.target == t} for t in METERS}
+    assert names["global_active_power"] >= {"intensity"} and names["global_intensity"] >= {"power"}
+    assert {"intensity_band+circuit_2"} <= names["sub_metering_1"] and not any("circuit_3" in n for n in names["sub_metering_1"])
+    exact = next(d for d in found if d.target == "sub_metering_1" and d.name == "intensity_band+circuit_2")
+    groups: dict[tuple, list[float]] = {}
+    for r in rows:
+        groups.setdefault((int(np.floor(np.log(r[5]) * 10 + 1e-12)), r[7]), []).append(r[6])
+    good = [g for g in groups.values() if len(g) >= 3 and max(g.count(v) for v in set(g)) >= 0.9 * len(g)]
+    want = 1 - sum(max(g.count(v) for v in set(g)) for g in good) / sum(map(len, good))
+    assert exact.error == pytest.approx(want, abs=1e-9)
+    noise = [(*r[:6], float(rng.integers(0, 40)), *r[7:]) for r in rows]
+    assert not [d for d in mined_dependencies(spark.createDataFrame(noise, HOUSE), "house_id", list(METERS), household_attributes()) if d.target == "sub_metering_1"]
+
+
+def test_medians_are_within_a_step(spark):
+    rng = np.random.default_rng(2)
+    x = rng.lognormal(0, 1, 2000)
+    df = spark.createDataFrame([(i % 3, float(v)) for i, v in enumerate(x)], "k int, v double")
+    steps = df.select("k", F.lit("v").alias("target"), step_of("v", 1.05, 0.2).alias("step"), "v").groupBy("target", "k", "step").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    for r in step_medians(steps, ["k"], ["v"], "m").collect():
+        true = np.median([v for i, v in enumerate(x) if i % 3 == r["k"]])
+        assert abs(r["m_v"] / true - 1) < 0.06
+
+
+def test_hidden_values_are_filled_well(spark):
+    """A tenth of the real values hidden: by dependency the median error is below 3 %, by group below 25 %."""
+    house = spark.read.parquet("/root/testdata/sf0.01/household.parquet")
+    u = F.pmod(F.xxhash64("reading_id"), F.lit(100))
+    hide = {"global_active_power": u < 10, "global_intensity": (u >= 5) & (u < 15), "sub_metering_1": (u >= 12) & (u < 22)}
+    out = filled_readings(house.withColumns({c: F.when(~w, F.col(c)) for c, w in hide.items()}), "reading_id", "house_id", "datetime")
+    true = house.select("reading_id", *[F.col(c).alias(f"true_{c}") for c in METERS])
+    for c, kind, most in (("global_active_power", "fd", 0.03), ("global_active_power", "group", 0.25), ("global_intensity", "fd", 0.03), ("sub_metering_1", "fd", 0.03)):
+        rows = out.join(true, "reading_id").where(F.col(f"{c}_source").startswith(kind) & (F.col(f"true_{c}") >= 0) & (F.col(f"true_{c}") < 500))
+        e = rows.agg(F.percentile(F.abs(F.col(c) - F.col(f"true_{c}")) / F.greatest(F.col(f"true_{c}"), F.lit(0.05)), 0.5).alias("e"), F.count("*").alias("n"))
+        got = e.first()
+        assert got["n"] > 30 and got["e"] <= most, (c, kind, got)
