@@ -64,7 +64,7 @@ def step_of(column: str, ratio: float, least: float) -> Column:
     c = F.col(column)
     return F.when(F.abs(c) < least, F.floor(c / (least * (ratio - 1.0)))).otherwise(
         F.signum(c) * (F.floor(F.log(F.greatest(F.abs(c), F.lit(least)) / least) / F.log(F.lit(ratio))) + F.lit(10_000))
-    ).cast("long")
+    ).cast("int")
 
 
 #: Fields, steps by ratio, and the value below which steps are even: what counts as the same reading.
@@ -90,25 +90,29 @@ def _name(attributes: Sequence[Attribute]) -> str:
 
 
 def determinant(attributes: Sequence[Attribute], values: bool = False) -> Column:
-    """The key of an attribute set, from columns named so or (``values``) from a record's fields; no attributes give ''."""
-    parts = [(a.value if values else F.col(a.name)).cast("string") for a in attributes]
-    return F.concat(*[x for p in parts for x in (F.lit("|"), p)]) if parts else F.lit("")
+    """The key of an attribute set, a hash of 64 bits, from columns named so or (``values``) from a record's fields.
+
+    Null where an attribute is; the set of no attributes has one key.
+    """
+    parts = [a.value if values else F.col(a.name) for a in attributes]
+    there = reduce(lambda x, y: x & y, [p.isNotNull() for p in parts], F.lit(True))
+    return F.when(there, F.xxhash64(F.lit(_name(attributes)), *[p.cast("double") for p in parts]))
 
 
 def stripped_partitions(cells: DataFrame, target: str, sets: Sequence[Sequence[Attribute]], support: int, purity: float) -> DataFrame:
-    """(name, entity, key, n, agreeing, value, good) of each group of each attribute set that has ``support`` records or more.
+    """(i, entity, key, n, agreeing, value, good) of each group of the i-th attribute set that has ``support`` records or more.
 
     ``agreeing`` is the largest number of a group's records whose target lies in two neighbouring steps, and ``value`` their
     mean; a group is good if they are the share ``purity`` of it. Groups of fewer records tell nothing and are left out.
     """
-    there = lambda of: reduce(lambda x, y: x & y, [F.col(a.name).isNotNull() for a in of], F.lit(True))
-    named = [F.struct(F.lit(_name(of)).alias("name"), F.when(there(of), determinant(of)).alias("key")) for of in sets]
-    long = cells.select("entity", F.col(f"t_{target}").alias("t"), "n", F.col(f"s_{target}").alias("s"), F.explode(F.array(*named)).alias("a")).where("a.key is not null")
-    steps = long.groupBy("a.name", "entity", "a.key", "t").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    keys = F.array(*[F.struct(F.lit(i).cast("short").alias("i"), determinant(s).alias("key")) for i, s in enumerate(sets)])
+    t = F.col(f"t_{target}").cast("int")
     # each step counts for itself with the next above and the next below
-    pairs = steps.withColumn("pair", F.explode(F.array(F.col("t"), F.col("t") - 1))).groupBy("name", "entity", "key", "pair").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    groups = pairs.groupBy("name", "entity", "key").agg((F.sum("n") / 2).cast("long").alias("n"), F.max("n").alias("agreeing"), F.max_by("s", "n").alias("s"))
-    return groups.where(F.col("n") >= support).select("name", "entity", "key", "n", "agreeing", (F.col("s") / F.col("agreeing")).alias("value"), (F.col("agreeing") >= purity * F.col("n")).alias("good"))
+    long = cells.select("entity", "n", F.col(f"s_{target}").alias("s"), F.explode(F.array(t, t - 1)).alias("pair"), keys.alias("keys"))
+    long = long.select("entity", "n", "s", "pair", F.explode("keys").alias("a")).where("a.key is not null")
+    pairs = long.groupBy("a.i", "entity", "a.key", "pair").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    groups = pairs.groupBy("i", "entity", "key").agg((F.sum("n") / 2).cast("long").alias("n"), F.max("n").alias("agreeing"), F.max_by("s", "n").alias("s"))
+    return groups.where(F.col("n") >= support).select("i", "entity", "key", "n", "agreeing", (F.col("s") / F.col("agreeing")).alias("value"), (F.col("agreeing") >= purity * F.col("n")).alias("good"))
 
 
 def mined_dependencies(
@@ -120,9 +124,9 @@ def mined_dependencies(
     A level-wise search over sets of attributes of different fields, within each entity. The error of a set is the share of
     the records in its good groups (``stripped_partitions``) that contradict their group; these have to hold the share
     ``confidence`` of all records. A set is kept if it has the share ``gain`` less error than
-    the smaller ones kept before it, that of no attributes included, or if it is another step width of such a set; the search
-    for a target ends once a set has an error of ``settled`` or less. Larger sets take only the coarsest attribute of a field,
-    and only one of two fields that determine each other. A dictionary has the good groups of those entities of whose
+    the smaller ones kept before it, that of no attributes included; the search for a target ends once a set has an error of
+    ``settled`` or less. Single attributes are the finest of their field, those of larger sets the coarsest, and of two fields
+    that determine each other only one takes part. A dictionary has the good groups of those entities of whose
     records the share ``confidence`` lies in good groups.
 
     All sets of a level are counted in one pass over cells of equal records; the driver sees one row a set.
@@ -135,34 +139,33 @@ def mined_dependencies(
     best = dict.fromkeys(targets, 1.0)
     settling: set[tuple[str, str]] = set()
     fields = list(dict.fromkeys(a.field for a in attributes))
-    coarsest = {a.field: a for a in attributes}
+    finest, coarsest = {a.field: a for a in reversed(attributes)}, {a.field: a for a in attributes}
     for size in range(1, largest + 1):
         for t in targets:
             if best[t] <= settled and any(d.target == t for d in found):
                 continue
             # of two fields that determine each other the later tells nothing new
             twins = {b for a, b in combinations(fields, 2) if {(a, b), (b, a)} <= settling} if size > 1 else set()
-            of = [a for a in (attributes if size == 1 else coarsest.values()) if a.field != t and a.field not in twins]
-            sets = [s for s in combinations(of, size) if len({a.field for a in s}) == size]
+            widths = finest if size == 1 else coarsest
+            sets = list(combinations([widths[f] for f in fields if f != t and f not in twins], size))
             if not sets:
                 continue
-            groups = stripped_partitions(cells, t, [*sets, ()] if size == 1 else sets, support, purity)
+            groups = checkpointed(stripped_partitions(cells, t, [*sets, ()] if size == 1 else sets, support, purity))
             good = lambda c: F.sum(F.when(F.col("good"), F.col(c)))
-            measured = groups.groupBy("name").agg(F.when(good("n") >= confidence * F.sum("n"), 1 - good("agreeing") / good("n")).alias("error")).where("error is not null")
-            errors = {r["name"]: r["error"] for r in measured.collect()}
-            best[t] = min(best[t], errors.get("", 1.0))
+            measured = groups.groupBy("i").agg(F.when(good("n") >= confidence * F.sum("n"), 1 - good("agreeing") / good("n")).alias("error")).where("error is not null")
+            errors = {r["i"]: r["error"] for r in measured.collect()}
+            best[t] = min(best[t], errors.pop(len(sets), 1.0))
             bar = (1 - gain) * best[t]
-            kept = {frozenset(a.field for a in s) for s in sets if errors.get(_name(s), 1.0) <= bar}
-            chosen = sorted((s for s in sets if frozenset(a.field for a in s) in kept), key=lambda s: errors.get(_name(s), 1.0))
-            if not chosen:
-                continue
-            best[t] = min(best[t], errors[_name(chosen[0])])
-            settling |= {(s[0].field, t) for s in chosen if size == 1 and errors.get(_name(s), 1.0) <= settled}
-            whole = Window.partitionBy("name", "entity")
+            whole = Window.partitionBy("entity")
             holds = F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).over(whole) >= confidence * F.sum("n").over(whole)
-            book = checkpointed(groups.where(F.col("name").isin(*map(_name, chosen))).withColumn("holds", holds).where("holds and good").select("name", "entity", "key", "value"))
-            for s in chosen:
-                found[Dependency(t, tuple(a.name for a in s), errors.get(_name(s), 1.0))] = book.where(F.col("name") == _name(s)).select("entity", "key", "value")
+            for i, error in sorted(errors.items(), key=lambda x: x[1]):
+                if error > bar:
+                    break
+                best[t] = min(best[t], error)
+                if size == 1 and error <= settled:
+                    settling.add((sets[i][0].field, t))
+                book = groups.where(F.col("i") == i).withColumn("holds", holds).where("holds and good")
+                found[Dependency(t, tuple(a.name for a in sets[i]), error)] = checkpointed(book.select("entity", "key", "value"))
     return found
 
 
@@ -225,7 +228,7 @@ def filled_readings(
     for i, (d, book) in enumerate(sorted(found.items(), key=lambda x: (x[0].error, -len(x[0].attributes)))):
         side = book.select(F.col("entity").alias(entity), F.col("key").alias("_key"), F.col("value").alias(f"_fd{i}"))
         key = determinant([by_name[a] for a in d.attributes], values=True)
-        todo = lookup_join(todo.withColumn("_key", F.when(F.col(d.target).isNull(), key)), side, [entity, "_key"], id_col, 80).drop("_key")
+        todo = lookup_join(todo.withColumn("_key", F.when(F.col(d.target).isNull(), key)), side, [entity, "_key"], id_col, 24).drop("_key")
         sources[d.target].append((f"fd:{d.name}", F.col(f"_fd{i}")))
     values = F.array(*[F.struct(F.lit(t).alias("target"), step_of(t, *STEPS.get(t, (1.05, 1.0))).alias("step"), F.col(t).alias("v")) for t in names])
     long = clean.where(placed).select(F.col(entity), slot.alias("_slot"), F.explode(values).alias("x")).where("x.v is not null")
