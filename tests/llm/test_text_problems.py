@@ -5,11 +5,12 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wattloom.llm import spam
 from wattloom.llm.languages import train_languages
-from wattloom.llm.leakage import leaked_items, tile
+from wattloom.llm.leakage import Passages, covered_share, leaked_items, running_hashes, tile
 from wattloom.llm.pairs import is_copy, is_empty, is_refusal, pair_defects, truncated_answers
 from wattloom.llm.spam import page_features, spam_pages
 from wattloom.llm.truncation import context_counts, end_probabilities, endings, length_hazards, with_cuts
@@ -149,18 +150,56 @@ def naive_tiles(p, t, least):
 
 def test_tiling_against_brute_force():
     rng = random.Random(1)
-    for _ in range(60):
+    for _ in range(300):
         p, t = [rng.choices("abcd", k=rng.randint(5, 25)) for _ in range(2)]
         seeds = [(i, j) for i in range(len(p) - 2) for j in range(len(t) - 2) if p[i : i + 3] == t[j : j + 3]]
         if not seeds:
             continue
         got = tile(np.array([s[0] for s in seeds]), np.array([s[1] for s in seeds]), 3, 3)
         want = naive_tiles(p, t, 3)
-        assert sum(n for *_, n in got) == sum(n for *_, n in want) or max(n for *_, n in got) == max(n for *_, n in want)
+        assert got == want
         spots = [x for i, _, n in got for x in range(i, i + n)]
         assert len(spots) == len(set(spots)) and all(p[i : i + n] == t[j : j + n] for i, j, n in got)
 
 
+def test_running_hashes_and_shared_seeds_against_brute_force():
+    rng = random.Random(6)
+    ids = np.array(rng.choices(range(5), k=500))
+    h = running_hashes(ids, 4)
+    grams: dict[tuple, int] = {}
+    assert all(grams.setdefault(tuple(ids[i : i + 4]), h[i]) == h[i] for i in range(len(h))) and len(set(grams.values())) == len(grams)
+    passages = [rng.choices("abcde", k=n) for n in (9, 3, 2, 14)]
+    rows = [Row(item=i, field="f", w=p, weights=[1.0] * len(p)) for i, p in enumerate(passages)]
+    texts = [rng.choices("abcdefg", k=n) for n in (0, 2, 3, 40, 25)]
+    got = set(zip(*map(np.ndarray.tolist, Passages.of(rows, {"f": 0.5}, 3).shared_seeds(texts, 3)), strict=True))
+    want = {(t, p, i, j) for t, x in enumerate(texts) for p, y in enumerate(passages) for i in range(len(x) - 2) for j in range(len(y) - 2) if x[i : i + 3] == y[j : j + 3]}
+    assert got == want
+    none = Passages.of([], {"f": 0.5}, 3)
+    assert not list(none.tilings(texts, 3, 12, 2.0))
+
+
+def test_bounds_pass_over_no_pair_and_recall_by_altered_words():
+    """Against tiling every pair; and how many passages come out with each n-th word altered."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passages = [rng.choices(vocabulary, k=rng.randint(8, 40)) for _ in range(30)]
+    rows = [Row(item=i, field="f", w=p, weights=[1.0] * len(p)) for i, p in enumerate(passages)]
+    block = Passages.of(rows, {"f": 0.6}, 3)
+    altered = {n: [["x" if i % n == n - 1 else w for i, w in enumerate(p)] for p in passages] for n in (3, 4, 5, 6)}
+    share = {}
+    for n, texts in altered.items():
+        texts = [rng.choices(vocabulary, k=20) + t + rng.choices(vocabulary, k=20) for t in texts]
+        got = {(t, p): (longest, covered) for t, p, longest, covered in block.tilings(texts, 3, 12, 2.0)}
+        for t, x in enumerate(texts):
+            for p, y in enumerate(passages):
+                tiles = naive_tiles(y, x, 3)
+                longest, covered = max((m for *_, m in tiles), default=0), covered_share(tiles, np.arange(len(y) + 1.0), 2.0)
+                assert ((t, p) in got) == (longest >= 12 or covered >= 0.6)
+                assert (t, p) not in got or got[t, p] == (longest, pytest.approx(covered))
+        share[n] = sum((i, i) in got for i in range(len(passages))) / len(passages)
+    assert share[3] == 0 and share[4] > 0.9 and share[5] == share[6] == 1  # runs of two words are below the seed
+
+
 def test_leaks(spark):
     a = "Only 9 of the 108 records in week 10 of 2019 were complete, hence 1972.5 MW is a floor and 14.0 percent the margin."
     b = "Readings dipped to 213.8 V twice, namely on 7 November at 23:00 and again 34 days later at 1.3 A in that home."
@@ -169,15 +208,15 @@ def test_leaks(spark):
     words = a.split()
     docs = [
         (1, "Before. " + a.upper().replace(" ", "\n ") + " After."), (2, f"<b>{b[:30]}</b>{b[30:]}"), (3, " ".join(words[4:17])), (4, " ".join(words[4:14])),
-        (5, " ".join(w for i, w in enumerate(words) if i % 9 != 4)), (6, like), (7, None), (8, ""), (9, "Was it warm?"), (10, b + " " + "filler words here " * 2000 + a),
+        (5, " ".join(w for i, w in enumerate(words) if i % 9 != 4)), (6, like), (7, None), (8, ""), (9, "Was it warm?"), (10, b + " " + "filler words here " * 2000 + f"<i class='{'x' * 5000}'>" + a),
         (11, " ".join(words[12:] + words[:12])),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"doc": F.lit(1), "seed": F.lit("a"), "item": F.lit(None)})
     out = leaked_items(df, "doc_id", "text", items, "golden_id", {"user_query": None, "reference_answer": 0.75})
     got = {(r["doc_id"], r["golden_id"]) for r in out.collect()}
     assert got == {(1, "g1"), (2, "g2"), (3, "g1"), (5, "g1"), (10, "g1"), (10, "g2"), (11, "g1")}
-    shuffled = leaked_items(df, "doc_id", "text", items, "golden_id", {"user_query": None, "reference_answer": 0.75}, broadcast_rows=0)
-    assert {(r["doc_id"], r["golden_id"]) for r in shuffled.collect()} == got
+    blocks = leaked_items(df, "doc_id", "text", items.unionByName(items), "golden_id", {"user_query": None, "reference_answer": 0.75}, block_bytes=100)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, out.collect()))
     assert leaked_items(df.limit(0), "doc_id", "text", items, "golden_id", {"reference_answer": 0.75}).count() == 0
 
 
