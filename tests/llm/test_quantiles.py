@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wattloom.llm.quantiles import TailSketch, merge_sketches, percentiles, tail_sketches
+from wattloom.llm.quantiles import TailSketch, merge_sketches, percentiles, rank_errors, tail_sketches
 
 QS = (0.1, 0.5, 0.9, 0.95, 0.99, 0.999)
 
@@ -57,3 +57,35 @@ def test_groups_nulls_and_rollup(spark):
     rolled = {r["g"]: r["n"] for r in merge_sketches(days, ["g"]).collect()}
     assert rolled == {"a": 2000, None: 1000}
     assert tail_sketches(df.limit(0), ["g"], "v").count() == 0 and tail_sketches(df, [], "v").first()["n"] == 3000
+
+
+@pytest.mark.parametrize("k", [16, 64])
+def test_stated_errors_hold_for_all_shapes_and_merges(k):
+    rng = np.random.default_rng(k)
+    shapes = [rng.random, lambda n: rng.lognormal(0, 3, n), lambda n: np.sort(rng.random(n)), lambda n: -np.sort(rng.random(n)), lambda n: np.sin(np.arange(n) * 0.01), lambda n: rng.pareto(1.1, n), lambda n: rng.integers(0, 50, n).astype(float)]
+    for shape in shapes:
+        x = shape(int(rng.integers(20_000, 90_000)))
+        sketches = []
+        for part in np.array_split(x, int(rng.integers(1, 30))):
+            sketches.append(TailSketch(k))
+            sketches[-1].update(part)
+        while len(sketches) > 1:  # a tree of merges
+            for other in sketches[1:4]:
+                sketches[0].merge(other)
+            sketches = [*sketches[4:], sketches[0]]
+        y = np.sort(x)
+        for q, v in zip(QS, sketches[0].quantiles(QS), strict=True):
+            assert rank_error(y, q, v) * (1 - q) <= sketches[0].rank_error(q) + 1 / len(x)
+
+
+def test_coins_differ_between_parts():
+    rng = np.random.default_rng(1)
+    coins = [TailSketch()._coin(np.sort(rng.random(50)), 0, 0) for _ in range(400)]
+    assert 140 < sum(coins) < 260
+
+
+def test_many_keys_are_handed_on_and_merged_in_runs(spark):
+    rows = [(i % 97, float(i)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(6)
+    few, many = ({(r["g"], r["n"], r["q"][0], r["e"][0]) for r in tail_sketches(df, ["g"], "v", most_keys=m).select("g", "n", percentiles("sketch", [0.5]).alias("q"), rank_errors("sketch", [0.5]).alias("e")).collect()} for m in (3, 4096))
+    assert few == many and len(few) == 97 and all(e == 0 for *_, e in few)

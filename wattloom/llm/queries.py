@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.languages import train_languages
 from wattloom.llm.leakage import leaked_items
 from wattloom.llm.pairs import pair_defects, truncated_answers
-from wattloom.llm.quantiles import merge_sketches, percentiles, tail_sketches
+from wattloom.llm.quantiles import merge_sketches, percentiles, rank_errors, tail_sketches
 from wattloom.llm.spam import spam_pages
 from wattloom.llm.tokenizer import decoded, encoded
 from wattloom.llm.truncation import length_hazards
@@ -19,8 +19,9 @@ LEVELS = (0.5, 0.9, 0.95, 0.99)
 
 def with_percentiles(sketches: DataFrame) -> DataFrame:
     keys = [c for c in sketches.columns if c not in ("n", "sketch")]
-    q = sketches.select(*keys, "n", percentiles("sketch", LEVELS).alias("q"))
-    return q.select(*keys, "n", *[F.element_at("q", i + 1).alias(f"p{round(100 * x)}") for i, x in enumerate(LEVELS)])
+    q = sketches.select(*keys, "n", percentiles("sketch", LEVELS).alias("q"), rank_errors("sketch", LEVELS).alias("e"))
+    names = [f"p{round(100 * x)}" for x in LEVELS]
+    return q.select(*keys, "n", *[F.element_at("q", i + 1).alias(p) for i, p in enumerate(names)], *[F.element_at("e", i + 1).alias(f"{p}_rank_error") for i, p in enumerate(names)])
 
 
 def latency_days(spark: SparkSession, sf_dir: str) -> DataFrame:
