@@ -127,7 +127,7 @@ def context_counts(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
     """(context, seen, ends): how often each of the ``asked`` contexts occurs in all texts, and how often a text or line ends there.
 
     Counts are exact. A map of bits of fixed size keeps contexts that nobody asked for from being counted; the few that
-    pass it by chance find no one to join. Each task adds up slices of its texts, and Spark adds these.
+    pass it by chance find no one to join. Each task adds up its batches, and Spark adds these.
     """
     mask = (1 << MAP_BITS) - 1
     bit = F.shiftright("context", 2).bitwiseAND(F.lit(mask))
@@ -141,6 +141,8 @@ def context_counts(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
         bits = shared.value
         for pdf in batches:
             texts = pdf["text"].tolist()
+            found: list[np.ndarray] = []
+            at_end: list[np.ndarray] = []
             for part in slices(texts):
                 codes, ends = batch_codes([bare(t) for t in texts[part]], max(ORDERS))
                 inside = codes != 2
@@ -150,8 +152,12 @@ def context_counts(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
                 for h in context_hashes(codes):
                     at = (h >> 2) & mask
                     hit = np.flatnonzero(inside & ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
-                    context, where = np.unique(h[hit], return_inverse=True)
-                    yield pd.DataFrame({"context": context, "seen": np.bincount(where, minlength=len(context)), "ends": np.bincount(where, weights=stop[hit], minlength=len(context)).astype(np.int64)})
+                    found.append(h[hit])
+                    at_end.append(stop[hit])
+            if found:
+                context, where = np.unique(np.concatenate(found), return_inverse=True)
+                ends_ = np.bincount(where, weights=np.concatenate(at_end), minlength=len(context)).astype(np.int64)
+                yield pd.DataFrame({"context": context, "seen": np.bincount(where, minlength=len(context)), "ends": ends_})
 
     texts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     return texts.mapInPandas(count, "context bigint, seen bigint, ends bigint").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
@@ -166,7 +172,7 @@ def end_probabilities(df: DataFrame, text: str, unseen: float, weight: float = 4
     """
     asked = checkpointed(df.select(endings(text).alias("e")).where("e.c12 is not null").select("e.c12", "e.c8", "e.c5", "e.whole").dropDuplicates(["c12"]))
     every = asked.select(F.explode(F.array("c12", "c8", "c5")).alias("context")).distinct()
-    counts = checkpointed(context_counts(df, text, every).join(every, "context", "left_semi"))
+    counts = checkpointed(context_counts(df, text, every))
     out = asked
     for c in ("c5", "c8", "c12"):
         side = counts.select(F.col("context").alias(c), F.greatest(F.col("seen") - 1, F.lit(0)).alias(f"n_{c}"), F.greatest(F.col("ends") - 1, F.lit(0)).alias(f"e_{c}"))
