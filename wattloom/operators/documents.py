@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from wattloom.functions import calendar as cal
 from wattloom.functions import text as tx
 
-# The columns of the stage tables.
-PROMPT_COLUMNS = ("row_id", "dataset", "granularity", "context_json", "prompt_text")
-KB_COLUMNS = ("kb_id", "row_id", "dataset", "granularity", "zone_id", "year", "month", "season", "parent_id", "summary", "context_json", "generated_at")
 PARENT = {"daily": "weekly", "weekly": "monthly", "monthly": "seasonal"}
 
 TEMPLATES = {
@@ -129,13 +126,19 @@ def cleaned_documents(df: DataFrame, text: str, metadata: Sequence[str]) -> Data
 def select_context(kb: DataFrame, queries: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """For each query, ``n`` documents of its dataset and granularity; of the whole dataset if that granularity has none.
 
-    The sample goes by a hash of seed, query and document. Queries name ``query_id``, ``dataset`` and ``granularity``.
+    Queries of one scope get the same sample: the ``n`` first of the scope by a hash of seed and document, found before any
+    query is joined. Queries name ``query_id``, ``dataset`` and ``granularity``.
     """
-    pairs = queries.select("query_id", "dataset", F.col("granularity").alias("_wanted")).join(kb.select("row_id", "dataset", "granularity", "summary"), "dataset")
-    exact = F.max(F.when(F.col("granularity") == F.col("_wanted"), 1).otherwise(0)).over(Window.partitionBy("query_id"))
-    kept = pairs.withColumn("_exact", exact).where((F.col("_exact") == 0) | (F.col("granularity") == F.col("_wanted")))
-    order = Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "row_id"), "row_id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_exact", "_wanted")
+    hashed = kb.select("row_id", "dataset", "granularity", "summary", F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("row_id"))).alias("_h"))
+
+    def first(*scope: str) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy(*scope).orderBy("_h", "row_id"))
+        return hashed.withColumn("rank", at).where(F.col("rank") <= n).drop("_h")
+
+    asked = queries.select("query_id", "dataset", "granularity")
+    exact = asked.join(first("dataset", "granularity"), ["dataset", "granularity"])
+    rest = asked.drop("granularity").join(exact.select("query_id").distinct(), "query_id", "left_anti").join(first("dataset"), "dataset")
+    return exact.unionByName(rest).select("query_id", "dataset", "row_id", "granularity", "summary", "rank")
 
 
 def context_text(df: DataFrame, key: str, order: str, line: Column, empty: str = "No summaries retrieved.") -> DataFrame:

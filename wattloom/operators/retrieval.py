@@ -7,6 +7,7 @@ shuffled is k rows per query and task whatever the corpus' size. Ranks are total
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions import text as tx
+from wattloom.session import checkpointed
 
 RRF_K = 60
 QUERY_BLOCK = 4096
@@ -60,42 +62,75 @@ def marked_words(text: Column | str, *marks: Column) -> Column:
     return F.concat(F.array(marker), F.array_distinct(tx.tokens(text)))
 
 
-def block_topk(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, digits: int = 9) -> DataFrame:
+def bm25_scorer(average: float, k1: float, b: float) -> Scorer:
+    """Okapi weights. A query's payload is its (term, weight) pairs, a document's its words in one text; -inf without a common word."""
+
+    def prepare(queries: list) -> Callable[[list], np.ndarray]:
+        terms: dict[str, int] = {}
+        at = np.array([(terms.setdefault(t["term"], len(terms)), i) for i, q in enumerate(queries) for t in q], dtype=np.int64).reshape(-1, 2)
+        weight = np.array([t["weight"] for q in queries for t in q], dtype=np.float64)
+        order = np.argsort(at[:, 0], kind="stable")
+        asking, weight = at[order, 1], weight[order]
+        first = np.searchsorted(at[order, 0], np.arange(len(terms) + 1))
+
+        def score(batch: list) -> np.ndarray:
+            n = np.array([x.count(" ") + 1 if x else 0 for x in batch], dtype=np.float64)
+            found = [(j, t, tf) for j, x in enumerate(batch) for t, tf in Counter(map(terms.get, x.split(" "))).items() if t is not None]
+            doc, term, tf = np.array(found, dtype=np.int64).reshape(-1, 3).T
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / average))
+            times = first[term + 1] - first[term]
+            where = np.repeat(first[term] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+            cell = asking[where] * len(batch) + np.repeat(doc, times)
+            size = len(queries) * len(batch)
+            total = np.bincount(cell, weights=np.repeat(part, times) * weight[where], minlength=size)
+            return np.where(np.bincount(cell, minlength=size) > 0, total, -np.inf).reshape(len(queries), len(batch))
+
+        return score
+
+    return prepare
+
+
+def block_topk(queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, digits: int = 9, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, row_id, score, rank): the k best rows of the corpus for each query.
 
     ``queries`` has query_id and payload, ``corpus`` row_id and payload; rows whose payload is null take no part. Scores
-    are rounded to ``digits`` places before they are compared, so equal rows tie and the lesser id wins.
+    are rounded to ``digits`` places before they are compared, so equal rows tie and the lesser id wins; a row that scores
+    -inf isn't found. Of several blocks the results of each are written before the next is taken, so the driver and the
+    tasks hold one block of queries.
     """
     q_type, r_type = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["row_id"]
     rows = queries.where("payload is not null").select("query_id", "payload")
-    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    blocks = max(1, -(-rows.count() // block))
     corpus = corpus.where("payload is not null").select("row_id", "payload")
-    found = []
-    for b in range(blocks):
+
+    def found(b: int) -> DataFrame:
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         taken = part.collect()
-        ids, payloads = np.array([r["query_id"] for r in taken], dtype=object), [r["payload"] for r in taken]
+        shared = queries.sparkSession.sparkContext.broadcast(([r["query_id"] for r in taken], [r["payload"] for r in taken]))
 
-        def best(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, payloads: list = payloads) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids = np.array(shared.value[0], dtype=object)
             if not len(ids):
                 return
-            score = scorer(payloads)
+            score = scorer(shared.value[1])
+            step = min(2048, max(1, (1 << 20) // len(ids)))
             held: pd.DataFrame | None = None
             for pdf in batches:
-                for i in range(0, len(pdf), 2048):
-                    rows_of = pdf["row_id"].to_numpy()[i : i + 2048]
-                    s = np.round(score(pdf["payload"].tolist()[i : i + 2048]), digits)
+                for i in range(0, len(pdf), step):
+                    rows_of = pdf["row_id"].to_numpy()[i : i + step]
+                    s = np.round(score(pdf["payload"].tolist()[i : i + step]), digits)
                     n = min(k, s.shape[1])
                     least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-                    q_at, r_at = np.nonzero(s >= least[:, None])  # ties with the last included
+                    q_at, r_at = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # ties with the last included
                     new = pd.DataFrame({"q": q_at, "row_id": rows_of[r_at], "score": s[q_at, r_at]})
                     held = new if held is None else pd.concat([held, new])
                     held = held.sort_values(["q", "score", "row_id"], ascending=[True, False, True], kind="stable").groupby("q").head(k)
             if held is not None and len(held):
                 yield pd.DataFrame({"query_id": ids[held["q"].to_numpy()], "row_id": held["row_id"], "score": held["score"]})
 
-        found.append(corpus.mapInPandas(best, f"query_id {q_type}, row_id {r_type}, score double"))
-    together = reduce(DataFrame.unionByName, found)
+        return corpus.mapInPandas(best, f"query_id {q_type}, row_id {r_type}, score double")
+
+    together = found(0) if blocks == 1 else reduce(DataFrame.unionByName, [checkpointed(found(b)) for b in range(blocks)])
     return ranked(together, "score", k)
 
 
@@ -125,22 +160,21 @@ def letter_vector(text: Column | str) -> Column:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, row_id, score, rank) by Okapi BM25 over (query_id, text) and (row_id, text).
 
-    Inverse document frequencies below 0 become ``epsilon`` times the mean over all terms. Statistics cover all documents;
-    only the occurrences of words that some query has are counted by document, and a query's word counts as often as it
-    stands there. Documents without any of the words aren't in the result. Null and empty texts are documents of length 0.
+    Inverse document frequencies below 0 become ``epsilon`` times the mean over all terms. Statistics cover all documents,
+    which are split into words once. A query's word counts as often as it stands there. Documents without any of the words
+    aren't in the result. Null and empty texts are documents of length 0. Each task keeps the best ``k`` of its documents
+    for a query, so a word that most documents have makes no rows but these.
     """
-    words = docs.select("row_id", tx.tokens("text").alias("w")).withColumn("len", F.size("w"))
-    total, average = words.agg(F.count("*")).scalar(), words.agg(F.avg("len")).scalar()
+    words = checkpointed(docs.select("row_id", tx.tokens("text").alias("w")))
+    facts = words.agg(F.count("*").alias("total"), F.avg(F.size("w")).alias("average")).first()
     having = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("having"))
-    idf = having.withColumn("idf", F.log(total - F.col("having") + 0.5) - F.log(F.col("having") + 0.5))
-    floor = idf.agg(F.avg("idf") * epsilon).scalar()
+    idf = having.select("term", (F.log(facts["total"] - F.col("having") + 0.5) - F.log(F.col("having") + 0.5)).alias("idf"))
     asked = queries.select("query_id", F.explode(tx.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighed = asked.join(idf.drop("having"), "term").withColumn("weight", F.col("times") * F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
-    terms = asked.select("term").distinct()
-    seen = words.select("row_id", "len", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("row_id", "len", "term").agg(F.count("*").alias("tf"))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
-    scored = seen.join(weighed, "term").groupBy("query_id", "row_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return ranked(scored, "score", k)
+    idf = checkpointed(idf.join(asked.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left"))
+    floor = idf.agg(F.avg("idf") * epsilon).scalar()
+    weight = F.col("times") * F.when(F.col("idf") < 0, floor).otherwise(F.col("idf"))
+    weighed = asked.join(idf.where("asked").select("term", "idf"), "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("payload"))
+    return block_topk(weighed, words.select("row_id", F.array_join("w", " ").alias("payload")), bm25_scorer(facts["average"] or 1.0, k1, b), k)
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int, pool: int, weights: tuple[float, float] = (1.0, 1.0), from_one: bool = False) -> DataFrame:
