@@ -176,3 +176,34 @@ def test_overlap_parent_against_brute_force(spark, tmp_path):
         want[q] = (least, round(-share, 6))
     got = {r["query_id"]: (r["row_id"], r["score"]) for r in kq.overlap_parent(spark, str(tmp_path)).collect()}
     assert got == want and set(got) == {100, 200, 300, 400, 500} and got[500] == (410, 0.75)
+
+
+def test_difficulty_aggregate_and_comparison_tables(spark):
+    rows = [("a", "Hard", "the evidence is limited evidence", 0.5), ("a", "Hard", "sure", None), ("a", "Easy", None, float("nan")), ("a", None, "x", 0.7), ("b", "Easy", "x", 1.0)]
+    df = spark.createDataFrame(rows, "exp_id string, label string, answer string, s double").withColumn("n_hard", F.lit("x"))
+    out = {r["exp_id"]: r for r in ev.difficulty_aggregate(df, ["exp_id"], "label", F.coalesce(F.col("answer").contains("limited"), F.lit(False)), ["s"]).collect()}
+    assert (out["a"]["avg_s"], out["a"]["n_easy"], out["a"]["n_hard"], out["a"]["cautious_response_accuracy"], out["a"]["n_queries"]) == (0.6, 1, 2, 0.5, 4)
+    assert out["b"]["cautious_response_accuracy"] is None and ev.difficulty_aggregate(df.limit(0), ["exp_id"], "label", F.lit(True)).count() == 0
+    agg = spark.createDataFrame([("x", 5, "p", 0.5, 0.2, 0.4), ("y", 5, None, None, None, None)], "exp_id string, top_k int, pipeline string, avg_answer_relevance double, avg_hallucination_rate double, avg_recall_at_k double")
+    ranked = ev.comparison_ranking(agg).orderBy("rank").collect()
+    assert [(r["exp_id"], r["composite_score"], r["rank"]) for r in ranked] == [("x", 0.34, 1), ("y", 0.0, 2)]
+    table = ev.comparison_table(agg, ["avg_recall_at_k", "avg_mrr"], only=F.col("pipeline").isNotNull()).collect()
+    assert len(table) == 1 and table[0]["avg_mrr"] is None and table[0]["avg_recall_at_k"] == 0.4
+
+
+def test_expansion_replies(spark):
+    df = spark.createDataFrame([("q", "load?", "KEYWORD: zone load peak\nnoise\nparaphrase: When was the peak?"), ("r", "load?", "no idea"), ("s", "load?", None)], "query_id string, text string, reply string")
+    got = {(r["query_id"], r["variant"]): r["text"] for r in rt.query_variants(df, rt.reply_variants("reply")).collect()}
+    assert got == {("q", 0): "load?", ("q", 1): "zone load peak", ("q", 2): "When was the peak?", ("r", 0): "load?", ("s", 0): "load?"}
+
+
+def test_search_in_several_blocks_gives_the_same(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, payload array<double>")
+    q, c = df.where("i % 9 = 0").withColumnRenamed("i", "query_id"), df.withColumnRenamed("i", "row_id")
+    one, many = (sorted(map(tuple, rt.block_topk(q, c, rt.dot_scorer, 3, block=b).collect())) for b in (4096, 4))
+    assert one == many and len(one) == 23 * 3
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(1, i % 6 + 1))) for i in range(60)] + [(60, None), (61, "")], "row_id int, text string")
+    asked = spark.createDataFrame([(i, f"w{i} w{i} w{i + 1} none") for i in range(9)] + [(9, "none"), (10, None)], "query_id int, text string")
+    found = rt.bm25_topk(asked, docs, 4).collect()
+    assert {r["query_id"] for r in found} == set(range(9)) and all(r["rank"] <= 4 for r in found)

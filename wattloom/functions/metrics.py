@@ -127,20 +127,26 @@ def difficulty(scores: Column | str) -> dict[str, Column]:
 def attribution(answer: Column | str, available: Column, letters: str = "E") -> dict[str, Column]:
     """Claims with citations, and citations that exist among the available ids.
 
-    With letters 'EP' the tags of children and parents count together. A claim is a sentence of more than ten signs.
+    With letters 'EP' the tags of children and parents count together, and the citations of each by themselves as well. A
+    claim is a sentence of more than ten signs.
     """
     claims = tx.sentences(answer, min_chars=10)
     tag = rf"\[[{letters}]\d+\]"
     cited = F.array().cast("array<string>")
     for letter in letters:
         cited = F.concat(cited, tx.citations(answer, letter))
+    kinds = {"E": "child", "P": "parent"}
+    apart = {
+        f"{what}_{kinds[letter]}_citations": F.size(of(tx.citations(answer, letter), available))
+        for letter in (letters if len(letters) > 1 else "") for what, of in (("correct", F.array_intersect), ("spurious", F.array_except))
+    }
     with_tag = F.size(F.filter(claims, lambda c: c.rlike(tag)))
     correct, spurious = F.size(F.array_intersect(cited, available)), F.size(F.array_except(cited, available))
     covered = F.when(F.size(claims) > 0, with_tag / F.size(claims)).otherwise(0.0)
     return {
         "total_claims": F.size(claims), "claims_with_citation": with_tag, "attribution_coverage": F.round(covered, 4),
         "correct_citations": correct, "spurious_citations": spurious,
-        "citation_accuracy": F.round(F.when(F.size(cited) > 0, correct / F.size(cited)).otherwise(0.0), 4), "unsupported_claim_rate": F.round(1.0 - covered, 4),
+        "citation_accuracy": F.round(F.when(F.size(cited) > 0, correct / F.size(cited)).otherwise(0.0), 4), "unsupported_claim_rate": F.round(1.0 - covered, 4), **apart,
     }
 
 

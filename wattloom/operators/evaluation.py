@@ -16,13 +16,13 @@ from wattloom.operators.temporal import null_if_nan
 def experiment_aggregate(results: DataFrame, keys: Sequence[str], means: Sequence[str], rates: Sequence[str] = (), latency: str = "latency_sec", error: str = "error") -> DataFrame:
     """By experiment: rows, errors, mean of the present values, and rates in which a missing value is 0; to four places.
 
-    Rows with a filled error count as errors and take no part in the means. NaN is missing.
+    Means are taken in decimals of nine places, so halves round up whatever the order of the rows. Rows with a filled error count as errors and take no part in the means. NaN is missing.
     """
     ok = F.coalesce(F.col(error), F.lit("")) == ""
     value = lambda c: F.when(ok, null_if_nan(F.col(c).cast("double")))
     return results.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum(F.when(ok, 0).otherwise(1)).alias("n_errors"),
-        *[F.round(F.avg(value(c)) + 1e-9, 4).alias(f"avg_{c}") for c in means],
+        *[F.round(F.avg(value(c).cast("decimal(38,9)")), 4).cast("double").alias(f"avg_{c}") for c in means],
         *[F.round(F.sum(F.when(ok, F.coalesce(value(c), F.lit(0.0)))) / F.sum(F.when(ok, 1)), 4).alias(f"rate_{c}") for c in rates],
         F.round(F.avg(value(latency)), 4).alias("avg_latency"),
     )
@@ -115,6 +115,38 @@ def overall_ranking(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranking(df.withColumn("composite_score", score), "composite_score", keys[0])
 
 
+def difficulty_aggregate(rows: DataFrame, keys: Sequence[str], label: str, cautious: Column, scores: Sequence[str] = ()) -> DataFrame:
+    """By ``keys``: mean of each score, queries of each difficulty, and the share of hard ones that were answered with caution.
+
+    The share is null without a hard query; null labels count as queries only.
+    """
+    hard = F.col(label) == "Hard"
+    return rows.groupBy(*keys).agg(
+        *[F.round(F.avg(null_if_nan(F.col(s).cast("double"))), 4).alias(f"avg_{s}") for s in scores],
+        *[F.count(F.when(F.col(label) == v, 1)).alias(f"n_{v.lower()}") for v in ("Easy", "Medium", "Hard")],
+        F.round(F.avg(F.when(hard, cautious.cast("int"))), 4).alias("cautious_response_accuracy"), F.count("*").alias("n_queries"),
+    )
+
+
+def comparison_table(aggregates: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("exp_id", "top_k", "pipeline"), only: Column | None = None) -> DataFrame:
+    """A table of a report: the keys and the columns of experiments that ``only`` lets through; columns that aren't there are null."""
+    rows = aggregates if only is None else aggregates.where(only)
+    return rows.select(*keys, *[F.col(c) if c in aggregates.columns else F.lit(None).cast("double").alias(c) for c in columns])
+
+
+def comparison_ranking(aggregates: DataFrame, keys: Sequence[str] = ("exp_id", "top_k", "pipeline")) -> DataFrame:
+    """All experiments by their composite score with its parts; ties go by the keys. One row an experiment, so small whatever the data."""
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in aggregates.columns else F.lit(0.0)
+    parts = {
+        "faithfulness": part("avg_faithfulness"), "1_minus_halluc": 1.0 - F.coalesce(F.col("avg_hallucination_rate"), F.lit(1.0)), "answer_relevance": part("avg_answer_relevance"),
+        "recall_at_k": part("avg_recall_at_k"), "semantic_sim": part("avg_semantic_similarity"),
+    }
+    weights = dict(zip(parts, mx.COMPOSITE.values(), strict=True))
+    composite = F.round(sum((weights[n] * c for n, c in parts.items()), F.lit(0.0)), 4)
+    rows = aggregates.select(*keys, *[F.round(c, 4).alias(n) for n, c in parts.items()], composite.alias("composite_score"))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("composite_score").desc(), *[F.col(k).asc_nulls_first() for k in keys])))
+
+
 def run_status(df: DataFrame, expected: DataFrame, keys: Sequence[str], valid: str, total: str) -> DataFrame:
     """OK from 90 % valid rows, WARN from half, PART below, PENDING without a run."""
     share = F.col(valid) / F.nullif(F.col(total), F.lit(0))

@@ -145,13 +145,21 @@ def retrieve(
     return found.where(F.col("rank") <= k) if "expand" in on else found
 
 
-def prompts(queries: DataFrame, found: DataFrame, docs: DataFrame, style: str = "attributed", with_difficulty: bool = False) -> DataFrame:
-    """(query_id, question, retrieved, evidence, context, difficulty_label, messages) of each query, also of those that found nothing."""
+def prompts(
+    queries: DataFrame, found: DataFrame, docs: DataFrame, style: str = "attributed", with_difficulty: bool = False, stage: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, question, retrieved, evidence, context, difficulty_label, messages) of each query, also of those that found nothing.
+
+    The difficulty is that of the scores of ``stage``, a dense list (query_id, rank, score) of the same queries: the scores of
+    fused lists are no similarities. Without it the list's own scores count, which then have to be similarities.
+    """
     tagged = evidence_ids(found, "query_id", "rank").join(docs.select("row_id", "text", *[c for c in ("granularity",) if c in docs.columns]), "row_id")
     meta = {"granularity": F.col("granularity")} if "granularity" in docs.columns else {}
     line = evidence_line(F.col("evidence_id"), F.col("text"), **meta)
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", c.alias("x")))), lambda v: v["x"])
     lists = tagged.groupBy("query_id").agg(ordered(F.col("row_id")).alias("retrieved"), ordered(F.col("evidence_id")).alias("evidence"), ordered(line).alias("lines"), ordered(F.col("score")).alias("scores"))
+    if stage is not None:
+        lists = lists.drop("scores").join(stage.groupBy("query_id").agg(ordered(F.col("score")).alias("scores")), "query_id", "left")
     rows = queries.select("query_id", F.col("text").alias("question")).join(lists, "query_id", "left")
     rows = rows.withColumns({"context": F.coalesce(F.array_join("lines", "\n\n"), F.lit("No summaries retrieved.")), "difficulty_label": mx.difficulty("scores")["difficulty_label"]})
     label = F.col("difficulty_label") if with_difficulty else None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.timeparts import epoch_seconds, from_epoch_seconds, usable
+from wattloom.session import checkpointed
 
 OBSERVED, INTERPOLATED, GAP = "observed", "interpolated", "gap"
 
@@ -75,7 +76,7 @@ def regular_grid(df: DataFrame, entity: str, ts: str, value: str, step_s: int, m
     """
     if step_s <= 0 or 86400 % step_s:
         raise ValueError("step_s must divide a day")
-    rows = with_halo(period_means(df, entity, ts, value, step_s, shard_steps))
+    rows = with_halo(checkpointed(period_means(df, entity, ts, value, step_s, shard_steps)))
     by_p = Window.partitionBy("entity_id", "shard").orderBy("p")
     rows = rows.withColumns({
         "p0": F.lag("p").over(by_p), "v0": F.lag("v").over(by_p),

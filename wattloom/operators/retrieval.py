@@ -238,6 +238,11 @@ def query_variants(queries: DataFrame, variants: Sequence[Column]) -> DataFrame:
     return queries.select("query_id", F.posexplode(texts).alias("variant", "text"))
 
 
+def reply_variants(reply: Column | str) -> list[Column]:
+    """The variants in a model's reply to a request for expansion: its keyword form and its paraphrase, null where it has none."""
+    return [tx.reply_field(reply, name) for name in ("KEYWORD", "PARAPHRASE")]
+
+
 def union_variants(results: DataFrame) -> DataFrame:
     """Of the lists of a query's variants each row once, in the order of variant and rank: (query_id, row_id, position)."""
     first = Window.partitionBy("query_id", "row_id").orderBy("variant", "rank")

@@ -128,11 +128,14 @@ def appliance_shares(resampled: DataFrame, meters: Mapping[str, str]) -> DataFra
     return resampled.withColumn("total", total).withColumns({name: share(c) for c, name in meters.items()}).drop("total")
 
 
-def yearly_peak(monthly: DataFrame, date: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """By year: statistics of the monthly means, and the season with the highest mean; ties take the first by name."""
+def yearly_peak(monthly: DataFrame, date: str, value: str, keys: Sequence[str] = (), also: Sequence[str] = ()) -> DataFrame:
+    """By year: statistics of the monthly means, the mean of each column of ``also``, and the season with the highest mean.
+
+    Ties take the first season by name.
+    """
     keys = list(keys)
-    rows = monthly.select(*keys, F.year(date).alias("year"), cal.season(F.month(date)).alias("season"), F.col(value).alias("v"))
-    by_year = rows.groupBy(*keys, "year").agg(*_stats("v", "yearly"))
+    rows = monthly.select(*keys, F.year(date).alias("year"), cal.season(F.month(date)).alias("season"), F.col(value).alias("v"), *also)
+    by_year = rows.groupBy(*keys, "year").agg(*_stats("v", "yearly"), *[F.avg(c).alias(c) for c in also])
     by_season = rows.groupBy(*keys, "year", "season").agg(F.avg("v").alias("m"))
     best = Window.partitionBy(*keys, "year").orderBy(F.col("m").desc(), "season")
     peak = by_season.withColumn("at", F.row_number().over(best)).where("at = 1").select(*keys, "year", F.col("season").alias("peak_season"))

@@ -157,6 +157,39 @@ def caution(spark, sf_dir):
     return rows.select("result_id", F.size(tx.matched_phrases("answer", tx.CAUTIONS)).alias("phrases"), tx.contains_any("answer", tx.CAUTIONS).alias("cautious"))
 
 
+def difficulty_totals(spark, sf_dir):
+    """By experiment: questions of each difficulty, and how many of the hard ones were answered with caution."""
+    golden = table(spark, sf_dir, "golden_queries").select(F.col("golden_id").alias("query_id"), F.initcap("difficulty_level").alias("label"))
+    rows = results_of(spark, sf_dir).join(golden, "query_id", "left")
+    return ev.difficulty_aggregate(rows, ["exp_id"], "label", tx.contains_any("answer", tx.CAUTIONS))
+
+
+def experiment_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.experiment_aggregate(results_of(spark, sf_dir), ["exp_id", "top_k", "pipeline"], METRICS)
+
+
+def comparison_overall(spark, sf_dir):
+    """Answers of all experiments."""
+    return ev.comparison_table(experiment_aggregates(spark, sf_dir), ["avg_answer_relevance", "avg_hallucination_rate", "n", "n_errors"])
+
+
+def comparison_retrieval(spark, sf_dir):
+    """Retrieval of the experiments that retrieve."""
+    return ev.comparison_table(experiment_aggregates(spark, sf_dir), ["avg_recall_at_k", "n"], only=~F.coalesce(F.col("exp_id").startswith("exp_a"), F.lit(False)))
+
+
+def comparison_attribution(spark, sf_dir):
+    """Attribution of the experiments that cite."""
+    names = ["attribution_coverage", "citation_accuracy", "unsupported_claim_rate", "total_claims", "claims_with_citation", "correct_citations", "spurious_citations"]
+    rows = attributed(spark, sf_dir, "E").groupBy("exp_id").agg(*[F.round(F.avg(n), 4).alias(f"avg_{n}") for n in names])
+    return ev.comparison_table(rows, [f"avg_{n}" for n in names], ["exp_id"], F.col("exp_id").contains("attr"))
+
+
+def comparison_ranking(spark, sf_dir):
+    """All experiments by the composite of what is known of them."""
+    return ev.comparison_ranking(experiment_aggregates(spark, sf_dir))
+
+
 def _retrieved(rows: DataFrame) -> DataFrame:
     """A stand-in for a retrieved list: a stranger, then the expected ids backwards, cut at top_k."""
     return rows.withColumn("retrieved", F.slice(F.concat(F.array(F.lit("none")), F.reverse("expected")), 1, F.greatest("top_k", F.lit(1))))
@@ -238,11 +271,12 @@ def _tagged_lines(prompt: str) -> Iterator[str]:
 
 
 def _experiment(spark: SparkSession, sf_dir: str, pipeline: str, mode: str) -> DataFrame:
-    golden = table(spark, sf_dir, "golden_queries")
-    q = golden.select(F.col("golden_id").alias("query_id"), F.col("user_query").alias("text"), "reference_answer")
+    q = kq.questions_of(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("row_id"), "dataset", "granularity", F.lit("").alias("parent_id"), "text")
-    found = checkpointed(ex.retrieve(q, docs, pipeline, 5, rt.letter_vector, mode, [F.col("reference_answer")]))
-    out = ex.run(ex.prompts(q, found, docs), _stand_in, f"{pipeline}_{mode}", pipeline, 5, rt.letter_vector)
+    variants = rt.reply_variants(kq.stand_in_expansion(F.col("text")))
+    found = checkpointed(ex.retrieve(q, docs, pipeline, 5, rt.letter_vector, mode, variants))
+    stage = None if pipeline == "dense" else ex.search(q, docs, "dense", 5, rt.letter_vector)
+    out = ex.run(ex.prompts(q, found, docs, stage=stage), _stand_in, f"{pipeline}_{mode}", pipeline, 5, rt.letter_vector)
     return out.select("exp_id", "query_id", F.array_join("retrieved", ",").alias("retrieved"), "error", "difficulty_label", "answer_relevance", "clarity", "attribution_coverage", "citation_accuracy")
 
 
@@ -269,7 +303,7 @@ QUERIES = {
         rate_aggregate, judge_mean_count, metric_coverage, length_describe, length_quartiles, pivot_counts, value_counts, filled_pct, keyword_guard, guard_rates,
         clarity, citations, attribution_metrics, attribution_parents, attribution_by_experiment, difficulty, difficulty_summary, label_precision, caution,
         recall_precision_at_k, recall_precision_set, support, answer_relevance, useful_answers, answer_observers, retrieval_ranking, baseline_delta,
-        composite_rank, scorecard, run_status, experiment_dense, experiment_hybrid_full, fallback_metrics,
+        composite_rank, scorecard, run_status, difficulty_totals, comparison_overall, comparison_retrieval, comparison_attribution, comparison_ranking, experiment_dense, experiment_hybrid_full, fallback_metrics,
     )
 }
 
@@ -292,10 +326,15 @@ _CLAIMS = "list_filter(" + kq._SENTENCES.format(t="answer") + ", lambda x: lengt
 def _attribution(letters: str) -> str:
     cited = " || ".join(rf"list_transform(list_distinct(regexp_extract_all(coalesce(answer, ''), '\[{c}(\d+)\]', 1)), lambda n: '{c}' || CAST(CAST(n AS INT) AS VARCHAR))" for c in letters)
     have = " || ".join(f"list_transform(CASE WHEN top_k > 0 THEN generate_series(1, top_k) ELSE [] END, lambda i: '{c}' || CAST(i AS VARCHAR))" for c in letters)
+    apart = "".join(
+        f", CAST(len(list_intersect({k}, have)) AS INT) AS correct_{n}_citations, CAST(len(list_filter({k}, lambda x: NOT list_contains(have, x))) AS INT) AS spurious_{n}_citations" for k, n in (("e", "child"), ("p", "parent"))
+    ) if len(letters) > 1 else ""
+    each = "".join(rf", list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\[{c}(\d+)\]', 1), lambda n: '{c}' || CAST(CAST(n AS INT) AS VARCHAR))) AS {c.lower()}" for c in letters)
+    names = ", correct_child_citations, spurious_child_citations, correct_parent_citations, spurious_parent_citations" if apart else ""
     return rf"""attributed AS (SELECT result_id, exp_id, CAST(t AS INT) AS total_claims, CAST(w AS INT) AS claims_with_citation, round(CASE WHEN t > 0 THEN w / t ELSE 0 END, 4) AS attribution_coverage,
-      CAST(ok AS INT) AS correct_citations, CAST(n - ok AS INT) AS spurious_citations, round(CASE WHEN n > 0 THEN ok / n ELSE 0 END, 4) AS citation_accuracy, round(1.0 - CASE WHEN t > 0 THEN w / t ELSE 0 END, 4) AS unsupported_claim_rate
-      FROM (SELECT result_id, exp_id, len(claims) AS t, len(list_filter(claims, lambda c: regexp_matches(c, '\[[{letters}]\d+\]'))) AS w, len(list_distinct(cited)) AS n, len(list_intersect(list_distinct(cited), have)) AS ok
-        FROM (SELECT result_id, exp_id, {_CLAIMS} AS claims, {cited} AS cited, {have} AS have FROM query_results)))"""
+      CAST(ok AS INT) AS correct_citations, CAST(n - ok AS INT) AS spurious_citations, round(CASE WHEN n > 0 THEN ok / n ELSE 0 END, 4) AS citation_accuracy, round(1.0 - CASE WHEN t > 0 THEN w / t ELSE 0 END, 4) AS unsupported_claim_rate{names}
+      FROM (SELECT result_id, exp_id{apart}, len(claims) AS t, len(list_filter(claims, lambda c: regexp_matches(c, '\[[{letters}]\d+\]'))) AS w, len(list_distinct(cited)) AS n, len(list_intersect(list_distinct(cited), have)) AS ok
+        FROM (SELECT result_id, exp_id, {_CLAIMS} AS claims, {cited} AS cited, {have} AS have{each} FROM query_results)))"""
 
 
 _ATTR_COLUMNS = "result_id, total_claims, claims_with_citation, attribution_coverage, correct_citations, spurious_citations, citation_accuracy, unsupported_claim_rate"
@@ -313,6 +352,7 @@ def _ideal(n: str) -> str:
     return f"coalesce(list_sum(list_transform(generate_series(1, {n}), lambda i: 1 / log2(i + 1))), 0)"
 
 
+_AGGREGATES = "aggregates AS (SELECT exp_id, top_k, pipeline, count(*) AS n, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_errors, " + ", ".join(f"round(avg(CASE WHEN ok THEN {_v(m)} END) + 1e-9, 4) AS avg_{m}" for m in METRICS) + " FROM (SELECT *, coalesce(error, '') = '' AS ok FROM query_results) GROUP BY 1, 2, 3)"
 _COMPOSITE = "round((recall_at_k + answer_relevance) / 2, 4)"
 _DISTINCT = r"list_distinct(list_filter(string_split_regex(lower({t}), '\s+'), lambda w: w <> ''))"
 ORACLE_SQL = {
@@ -330,7 +370,7 @@ ORACLE_SQL = {
       FROM (SELECT result_id, {_SENT3.format(s=kq._SENTENCES.format(t='answer'))} AS s FROM query_results)""",
     "citations": r"SELECT result_id, array_to_string(list_transform(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\[E(\d+)\]', 1), lambda n: CAST(n AS INT)))), lambda n: 'E' || CAST(n AS VARCHAR)), ',') AS cited FROM query_results",
     "attribution_metrics": f"WITH {_attribution('E')} SELECT {_ATTR_COLUMNS} FROM attributed",
-    "attribution_parents": f"WITH {_attribution('EP')} SELECT {_ATTR_COLUMNS} FROM attributed",
+    "attribution_parents": f"WITH {_attribution('EP')} SELECT {_ATTR_COLUMNS}, correct_child_citations, spurious_child_citations, correct_parent_citations, spurious_parent_citations FROM attributed",
     "attribution_by_experiment": f"WITH {_attribution('E')} SELECT exp_id, " + ", ".join(f"round(avg({c}), 4) AS {c}_mean, count({c}) AS {c}_count" for c in ("attribution_coverage", "citation_accuracy", "unsupported_claim_rate")) + " FROM attributed GROUP BY 1",
     "difficulty": f"WITH {_DIFFICULTY} SELECT query_id, coverage_score, consistency_score, difficulty_score, difficulty_label FROM difficulty",
     "difficulty_summary": f"WITH {_DIFFICULTY} SELECT difficulty_label, count(*) AS n, round(avg(difficulty_score) + 1e-9, 4) AS avg_score FROM difficulty GROUP BY 1",
@@ -355,5 +395,12 @@ ORACLE_SQL = {
       c AS (SELECT coalesce(b.pipeline, g.pipeline) AS pipeline, {_COMPOSITE} AS composite_retrieval, overall_pass, round(1 - overall_pass, 4) AS risk_score FROM by_pipeline b FULL JOIN g ON g.pipeline = b.pipeline),
       o AS (SELECT *, round((composite_retrieval / max(composite_retrieval) OVER () + 1 - risk_score) / 2, 4) AS overall_score FROM c)
       SELECT *, row_number() OVER (ORDER BY overall_score DESC, pipeline) AS overall_rank FROM o""",
+    "difficulty_totals": "SELECT exp_id, " + ", ".join(f"count(*) FILTER (label = '{v.lower()}') AS n_{v.lower()}" for v in ("Easy", "Medium", "Hard")) + f", round(avg(CASE WHEN label = 'hard' THEN CASE WHEN {' OR '.join(_CAUTIOUS)} THEN 1 ELSE 0 END END), 4) AS cautious_response_accuracy, count(*) AS n_queries FROM (SELECT r.exp_id, r.answer, lower(g.difficulty_level) AS label FROM query_results r LEFT JOIN golden_queries g ON g.golden_id = r.query_id) GROUP BY 1",
+    "comparison_overall": f"WITH {_AGGREGATES} SELECT exp_id, top_k, pipeline, avg_answer_relevance, avg_hallucination_rate, n, n_errors FROM aggregates",
+    "comparison_retrieval": f"WITH {_AGGREGATES} SELECT exp_id, top_k, pipeline, avg_recall_at_k, n FROM aggregates WHERE coalesce(exp_id, '') NOT LIKE 'exp_a%'",
+    "comparison_attribution": f"WITH {_attribution('E')} SELECT exp_id, " + ", ".join(f"round(avg({c}), 4) AS avg_{c}" for c in ("attribution_coverage", "citation_accuracy", "unsupported_claim_rate", "total_claims", "claims_with_citation", "correct_citations", "spurious_citations")) + " FROM attributed WHERE exp_id LIKE '%attr%' GROUP BY 1",
+    "comparison_ranking": f"""WITH {_AGGREGATES}, parts AS (SELECT exp_id, top_k, pipeline, CAST(0 AS DOUBLE) AS faithfulness, round(1 - coalesce(avg_hallucination_rate, 1), 4) AS "1_minus_halluc", coalesce(avg_answer_relevance, 0) AS answer_relevance, coalesce(avg_recall_at_k, 0) AS recall_at_k, CAST(0 AS DOUBLE) AS semantic_sim FROM aggregates),
+      scored AS (SELECT *, round(0.2 * "1_minus_halluc" + 0.2 * answer_relevance + 0.2 * recall_at_k, 4) AS composite_score FROM parts)
+      SELECT *, row_number() OVER (ORDER BY composite_score DESC, exp_id NULLS FIRST, top_k NULLS FIRST, pipeline NULLS FIRST) AS rank FROM scored""",
     "run_status": f"SELECT *, CASE WHEN valid / total >= 0.9 THEN 'OK' WHEN valid / total >= 0.5 THEN 'WARN' ELSE 'PART' END AS status FROM (SELECT exp_id, top_k, count({_v('answer_relevance')}) AS valid, count(*) AS total FROM query_results GROUP BY 1, 2)",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions import text as tx
@@ -126,10 +126,15 @@ def reranked(spark, sf_dir):
     return out.select("query_id", "row_id", F.round("rerank_score", 6).alias("score"), "rank")
 
 
+def stand_in_expansion(question: Column) -> Column:
+    """What a model would reply that only knows to leave out the short words of a question."""
+    long = F.array_join(F.filter(F.split(question, r"\s+"), lambda w: F.length(w) >= 5), " ")
+    return F.concat(F.lit("KEYWORD: "), F.coalesce(long, F.lit("")))
+
+
 def variant_union(spark, sf_dir):
-    """Keyword lists of a question and of its reference answer, united."""
-    golden = table(spark, sf_dir, "golden_queries").select(F.col("golden_id").alias("query_id"), F.col("user_query").alias("text"), "reference_answer")
-    variants = rt.query_variants(golden, [F.col("reference_answer")])
+    """Keyword lists of a question and of its expansion, united."""
+    variants = rt.query_variants(questions_of(spark, sf_dir), rt.reply_variants(stand_in_expansion(F.col("text"))))
     asked = variants.select(F.concat_ws("#", "query_id", "variant").alias("query_id"), "text")
     found = rt.bm25_topk(asked, documents_of(spark, sf_dir), K)
     parts = F.split("query_id", "#")
@@ -159,7 +164,7 @@ def context_texts(spark, sf_dir):
     """The context that a prompt would get, from the retrieved documents, with evidence tags."""
     found = rt.bm25_topk(questions_of(spark, sf_dir), documents_of(spark, sf_dir), 3)
     tagged = dc.evidence_ids(found, "query_id", "rank").join(documents_of(spark, sf_dir), "row_id")
-    line = F.concat(F.lit("["), F.col("evidence_id"), F.lit("] "), F.md5("text"))
+    line = F.concat(F.lit("["), F.col("evidence_id"), F.lit("] "), F.col("text"))
     return dc.context_text(tagged, "query_id", "rank", line)
 
 
@@ -264,14 +269,21 @@ ORACLE_SQL = {
     "reranked": f"""WITH {_DENSE}, scored AS (SELECT d.query_id, d.row_id, d.rank AS prior, round(len(list_intersect(list_distinct(q.w), list_distinct(t.w))) / greatest(len(list_distinct(q.w)), 1), 9) AS score
       FROM dense d JOIN (SELECT golden_id, {_TOKENS.format(t='user_query')} AS w FROM golden_queries) q ON q.golden_id = d.query_id JOIN (SELECT doc_id, {_TOKENS.format(t='text')} AS w FROM documents) t ON t.doc_id = d.row_id WHERE d.rank <= {4 * K})
       SELECT query_id, row_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prior) AS rank FROM scored) WHERE rank <= {K}""",
-    "variant_union": f"""WITH questions AS (SELECT golden_id || '#0' AS query_id, user_query AS text FROM golden_queries UNION ALL SELECT golden_id || '#1', reference_answer FROM golden_queries), {_BM25},
+    "variant_union": f"""WITH questions AS (SELECT golden_id || '#0' AS query_id, user_query AS text FROM golden_queries UNION ALL SELECT golden_id || '#1', v FROM (SELECT golden_id, user_query, array_to_string(list_filter(string_split_regex(user_query, '\\s+'), lambda w: length(w) >= 5), ' ') AS v FROM golden_queries) WHERE v <> '' AND v <> user_query), {_BM25},
       found AS (SELECT split_part(query_id, '#', 1) AS q, CAST(split_part(query_id, '#', 2) AS INT) AS variant, row_id, rank FROM sparse WHERE rank <= {K}),
       firsts AS (SELECT *, row_number() OVER (PARTITION BY q, row_id ORDER BY variant, rank) AS rn FROM found)
       SELECT q AS query_id, row_id, row_number() OVER (PARTITION BY q ORDER BY variant, rank) AS position FROM firsts WHERE rn = 1""",
     "overlap_parent": f"""WITH w AS (SELECT doc_id, granularity, list_distinct({_TOKENS.format(t='text')}) AS w FROM documents WHERE text IS NOT NULL)
       SELECT query_id, row_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rn FROM (
         SELECT q.doc_id AS query_id, d.doc_id AS row_id, round(len(list_intersect(q.w, d.w)) / len(q.w), 9) AS score FROM w q, w d
-        WHERE q.doc_id % 100 = 0 AND q.granularity IS NOT NULL AND d.granularity IS NULL AND len(q.w) > 0 AND len(d.w) > 0)) WHERE rn = 1""",
+        WHERE q.doc_id % 100 = 0 AND q.doc_id <> d.doc_id AND len(q.w) > 0 AND len(d.w) > 0)) WHERE rn = 1""",
+    "context_texts": f"""WITH {_QUESTIONS}, {_BM25} SELECT query_id, string_agg('[E' || rank || '] ' || d.text, chr(10) || chr(10) ORDER BY rank) AS context
+      FROM sparse s JOIN documents d ON d.doc_id = s.row_id WHERE rank <= 3 GROUP BY 1""",
+    "context_selection": _KB + """, asked AS (SELECT golden_id AS query_id, dataset_source AS dataset, granularity_target AS granularity FROM golden_queries WHERE dataset_source IS NOT NULL),
+      hashed AS (SELECT row_id, dataset, granularity, md5('42|' || row_id) AS h FROM kb),
+      exact AS (SELECT a.query_id, k.row_id, row_number() OVER (PARTITION BY a.query_id ORDER BY h, k.row_id) AS rank FROM asked a JOIN hashed k ON k.dataset = a.dataset AND k.granularity = a.granularity),
+      wide AS (SELECT a.query_id, k.row_id, row_number() OVER (PARTITION BY a.query_id ORDER BY h, k.row_id) AS rank FROM asked a JOIN hashed k ON k.dataset = a.dataset WHERE a.query_id NOT IN (SELECT query_id FROM exact))
+      SELECT * FROM exact WHERE rank <= 3 UNION ALL SELECT * FROM wide WHERE rank <= 3""",
     "route_pipelines": """SELECT result_id, unnest(CASE WHEN difficulty_level = 'hard' THEN ['dense', 'hybrid', 'hierarchical'] WHEN difficulty_level = 'medium' THEN ['dense', 'hierarchical'] ELSE ['dense'] END) AS pipeline
       FROM query_results r LEFT JOIN golden_queries g ON g.golden_id = r.query_id""",
     "anti_resume": "SELECT DISTINCT concat_ws('|', exp_id, query_id) AS run FROM query_results WHERE concat_ws('|', exp_id, query_id) NOT IN (SELECT concat_ws('|', exp_id, query_id) FROM query_results WHERE length(trim(answer, ' ')) > 0)",

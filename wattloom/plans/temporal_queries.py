@@ -9,7 +9,7 @@ from wattloom.operators import evaluation as ev
 from wattloom.operators import temporal as tp
 from wattloom.sources.tables import table
 
-MEASURES = ("global_active_power", "voltage")
+MEASURES = ("global_active_power", "global_reactive_power", "voltage", "global_intensity", "sub_metering_1", "sub_metering_2", "sub_metering_3")
 METERS = {f"sub_metering_{i}_mean": f"share_{i}_pct" for i in (1, 2, 3)}
 
 
@@ -73,7 +73,7 @@ def share_pct(spark, sf_dir):
 
 
 def yearly_peak(spark, sf_dir):
-    return _rounded(tp.yearly_peak(_house(spark, sf_dir, "ME"), "period_start", "global_active_power_mean", ["house_id"]))
+    return _rounded(tp.yearly_peak(_house(spark, sf_dir, "ME"), "period_start", "global_active_power_mean", ["house_id"], [f"sub_metering_{i}_mean" for i in (1, 2, 3)]))
 
 
 def melt_measures(spark, sf_dir):
@@ -110,7 +110,7 @@ def type_counts(spark, sf_dir):
 
 
 def reading_gaps(spark, sf_dir):
-    return ev.missing_counts(table(spark, sf_dir, "household").select(*[tp.null_if_nan(c).alias(c) for c in ("global_active_power", "voltage", "sub_metering_1")]), ["global_active_power", "voltage", "sub_metering_1"])
+    return ev.missing_counts(table(spark, sf_dir, "household").select(*[tp.null_if_nan(c).alias(c) for c in MEASURES]), list(MEASURES))
 
 
 QUERIES = {
@@ -173,10 +173,10 @@ ORACLE_SQL = {
     "resample_month": _resample_sql("ME"),
     "share_pct": f"SELECT house_id, CAST(period_start AS VARCHAR) AS period_start, {', '.join(f'round(round(sub_metering_{i}_mean / {_TOTAL} * 100, 1) + 1e-9, 4) AS share_{i}_pct' for i in (1, 2, 3))} FROM {_resampled('ME', ('sub_metering_1', 'sub_metering_2', 'sub_metering_3'))}",
     "yearly_peak": f"""
-      WITH m AS (SELECT house_id, CAST(year(period_start) AS INT) AS year, {_SEASON.format(m='month(period_start)')} AS season, global_active_power_mean AS v FROM {_resampled('ME', MEASURES)}),
-      y AS (SELECT house_id, year, avg(v) AS yearly_mean, min(v) AS yearly_min, max(v) AS yearly_max, stddev_samp(v) AS yearly_std FROM m GROUP BY 1, 2),
+      WITH m AS (SELECT house_id, CAST(year(period_start) AS INT) AS year, {_SEASON.format(m='month(period_start)')} AS season, global_active_power_mean AS v, sub_metering_1_mean, sub_metering_2_mean, sub_metering_3_mean FROM {_resampled('ME', MEASURES)}),
+      y AS (SELECT house_id, year, avg(v) AS yearly_mean, min(v) AS yearly_min, max(v) AS yearly_max, stddev_samp(v) AS yearly_std, avg(sub_metering_1_mean) AS s1, avg(sub_metering_2_mean) AS s2, avg(sub_metering_3_mean) AS s3 FROM m GROUP BY 1, 2),
       s AS (SELECT *, row_number() OVER (PARTITION BY house_id, year ORDER BY mm DESC, season) AS at FROM (SELECT house_id, year, season, avg(v) AS mm FROM m GROUP BY 1, 2, 3))
-      SELECT y.house_id, y.year, {_round('yearly', 'mean min max std')}, s.season AS peak_season FROM y LEFT JOIN s ON s.house_id = y.house_id AND s.year = y.year AND s.at = 1""",
+      SELECT y.house_id, y.year, {_round('yearly', 'mean min max std')}, {', '.join(f'round(s{i} + 1e-9, 4) AS sub_metering_{i}_mean' for i in (1, 2, 3))}, s.season AS peak_season FROM y LEFT JOIN s ON s.house_id = y.house_id AND s.year = y.year AND s.at = 1""",
     "melt_measures": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT reading_id, 'sub_metering_{i}' AS measure, sub_metering_{i} AS value FROM household" for i in (1, 2, 3)) + ") WHERE value IS NOT NULL AND NOT isnan(value)",
     "melt_hours": """SELECT zone_id, strftime(date_trunc('hour', datetime), '%Y-%m-%d %H:%M:%S') AS datetime, round(avg(load_mw) + 1e-9, 2) AS load_mw FROM load_history
       WHERE zone_id IS NOT NULL AND datetime IS NOT NULL AND load_mw IS NOT NULL AND NOT isnan(load_mw) GROUP BY 1, 2""",
@@ -184,5 +184,5 @@ ORACLE_SQL = {
     "validate_rows": _DAYS + "SELECT zone_id, CAST(date AS VARCHAR) AS date, round(load_mean + 1e-9, 4) AS load_mean FROM days WHERE load_mean > 0",
     "stratified_sample": _DAYS + "SELECT zone_id, CAST(date AS VARCHAR) AS date, round(load_mean + 1e-9, 4) AS load_mean FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY ((year(date) * 372 + month(date) * 31 + day(date)) * 7919) % 1009, days.date) AS rn FROM days) WHERE rn <= 5",
     "type_counts": "SELECT e.dataset, e.granularity, count(d.doc_id) AS n, CASE WHEN count(d.doc_id) > 0 THEN 'OK' ELSE 'MISSING' END AS status FROM (SELECT * FROM (VALUES ('gefcom'), ('household'), ('system'), ('grid')) a(dataset), (VALUES ('daily'), ('weekly'), ('monthly'), ('seasonal')) b(granularity)) e LEFT JOIN documents d ON d.dataset = e.dataset AND d.granularity = e.granularity GROUP BY 1, 2",
-    "reading_gaps": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(sum(CASE WHEN {c} IS NULL OR isnan({c}) THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM household" for c in ("global_active_power", "voltage", "sub_metering_1")),
+    "reading_gaps": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(sum(CASE WHEN {c} IS NULL OR isnan({c}) THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM household" for c in MEASURES),
 }
