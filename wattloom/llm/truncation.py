@@ -135,29 +135,33 @@ def context_counts(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
     filled = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
     bits[filled["word"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64)
-    shared = df.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    shared = df.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    def added(context: np.ndarray, seen: np.ndarray | None, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        where, several = pd.factorize(context)
+        total = lambda x: np.bincount(where, weights=x, minlength=len(several)).astype(np.int64)
+        return several, total(seen), total(ends)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = shared.value
         for pdf in batches:
             texts = pdf["text"].tolist()
-            found: list[np.ndarray] = []
-            at_end: list[np.ndarray] = []
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for part in slices(texts):
                 codes, ends = batch_codes([bare(t) for t in texts[part]], max(ORDERS))
                 inside = codes != 2
                 stop = np.zeros(len(codes), dtype=bool)
                 stop[ends[ends > 0] - 1] = True
                 stop[:-1] |= codes[1:] == 10
+                hits = []
                 for h in context_hashes(codes):
                     at = (h >> 2) & mask
-                    hit = np.flatnonzero(inside & ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
-                    found.append(h[hit])
-                    at_end.append(stop[hit])
+                    hits.append(np.flatnonzero(inside & (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                    hits[-1] = h[hits[-1]], stop[hits[-1]]
+                found.append(added(np.concatenate([h for h, _ in hits]), None, np.concatenate([e for _, e in hits])))
             if found:
-                context, where = np.unique(np.concatenate(found), return_inverse=True)
-                ends_ = np.bincount(where, weights=np.concatenate(at_end), minlength=len(context)).astype(np.int64)
-                yield pd.DataFrame({"context": context, "seen": np.bincount(where, minlength=len(context)), "ends": ends_})
+                context, seen, ends_ = added(*[np.concatenate(x) for x in zip(*found, strict=True)])
+                yield pd.DataFrame({"context": context, "seen": seen, "ends": ends_})
 
     texts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     return texts.mapInPandas(count, "context bigint, seen bigint, ends bigint").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
