@@ -27,6 +27,14 @@ def languages(spark):
     return train_languages(spark.createDataFrame(rows, "id int, text string, lang string"), "text", "lang", "id")
 
 
+def test_languages_are_those_of_the_labels(spark, languages):
+    assert languages.languages == ("de", "en", "es", "fr")
+    rows = [(i, "Het net was in de avond zwaarder belast dan in de nacht.", "nl") for i in range(9)] + [(10 + i, ENGLISH[i % 4], "en-GB") for i in range(9)] + [(99, "x", "??")]
+    model = train_languages(spark.createDataFrame(rows, "id int, t string, lang string"), "t", "lang", "id")
+    assert model.languages == ("en", "nl") and model.log_likelihood(["De nacht was zwaarder belast"])[0].argmax() == 1
+    assert train_languages(spark.createDataFrame([], "id int, t string, lang string"), "t", "lang", "id").languages == ("en",)
+
+
 @pytest.mark.parametrize("answer, empty", [(None, True), ("", True), (" ​\xa0\n", True), ("...", True), ('"None"', True), ("N/A.", True), ("0", False), ("Friday", False), ("no", False)])
 def test_empty(answer, empty):
     assert is_empty(answer) is empty

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.grams import batch_codes, rolling_hashes, slices
 
-LANGUAGES = ("de", "en", "es", "fr")
-ORDERS, BITS = (1, 2, 3), 16
+ORDERS, BITS = (1, 2, 3, 4), 16
 NO_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -43,23 +42,26 @@ class LanguageModel:
 
 
 def language_code(lang: Column | str) -> Column:
-    """The first two letters in lower case; null where the label isn't one of the modelled languages."""
+    """The first two letters of a label in lower case; null where it doesn't begin with two letters."""
     code = F.lower(F.substring(F.trim(lang), 1, 2))
-    return F.when(code.isin(*LANGUAGES), code)
+    return F.when(code.rlike("^[a-z]{2}$"), code)
 
 
-def train_languages(labelled: DataFrame, text: str, lang: str, key: str, per_language: int = 400) -> LanguageModel:
+def train_languages(labelled: DataFrame, text: str, lang: str, key: str, per_language: int = 400, least_share: float = 0.02) -> LanguageModel:
     """Fit on ``per_language`` labelled rows of each language at most, in the order of a hash of their key.
 
-    That bound makes the sample; its n-gram counts are summed by Spark into a table of fixed size. Rows without text or
-    known label are passed over; a language without rows gets even likelihoods. Labels may in part be wrong.
+    The languages are those of the labels that ``least_share`` of the labelled rows have. The bound makes the sample; its
+    n-gram counts are summed by Spark into a table of fixed size. Rows without text or label are passed over; labels may in
+    part be wrong. Without any labelled row the model knows one language, and so finds no other.
     """
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), language_code(lang).alias("lang")).where("lang is not null and length(trim(text)) > 0")
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    languages = tuple(sorted(r["lang"] for r in share if r["n"] >= least_share * sum(x["n"] for x in share))) or ("en",)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    sample = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
+    sample = rows.where(F.col("lang").isin(*languages)).withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = np.zeros((len(LANGUAGES), len(ORDERS) << BITS))
+        totals = np.zeros((len(languages), len(ORDERS) << BITS))
         for pdf in batches:
             for lang_, part in pdf.groupby("lang"):
                 texts = part["text"].tolist()
@@ -67,12 +69,12 @@ def train_languages(labelled: DataFrame, text: str, lang: str, key: str, per_lan
                     codes, _ = batch_codes([f" {t} " for t in _letters(texts[at])], max(ORDERS))
                     inside = codes != 2
                     for i, h in enumerate(rolling_hashes(codes, ORDERS, BITS)):
-                        totals[LANGUAGES.index(lang_), i << BITS : (i + 1) << BITS] += np.bincount(h[inside], minlength=1 << BITS)
+                        totals[languages.index(lang_), i << BITS : (i + 1) << BITS] += np.bincount(h[inside], minlength=1 << BITS)
         at = np.nonzero(totals)
-        yield pd.DataFrame({"lang": np.array(LANGUAGES)[at[0]], "bucket": at[1], "n": totals[at].astype("int64")})
+        yield pd.DataFrame({"language": at[0], "bucket": at[1], "n": totals[at].astype("int64")})
 
-    counts = np.zeros((len(ORDERS) << BITS, len(LANGUAGES)))
-    for r in sample.select("lang", "text").mapInPandas(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        counts[r.bucket, LANGUAGES.index(r.lang)] = r.n
-    counts = counts.reshape(len(ORDERS), 1 << BITS, len(LANGUAGES)) + 0.05
-    return LanguageModel(LANGUAGES, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    table = sample.select("lang", "text").mapInPandas(count, "language bigint, bucket bigint, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((len(ORDERS) << BITS, len(languages)))
+    counts[table["bucket"], table["language"]] = table["n"]
+    counts = counts.reshape(len(ORDERS), 1 << BITS, len(languages)) + 0.05
+    return LanguageModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))

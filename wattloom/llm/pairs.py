@@ -148,7 +148,7 @@ def pair_defects(
         asked = languages.log_likelihood(several.tolist())[of]
         own = asked.argmax(axis=1)
         ordered = np.sort(asked, axis=1)
-        sure = ordered[:, -1] - ordered[:, -2] > 2.0
+        sure = ordered[:, -1] - ordered[:, -2] > 2.0 if ordered.shape[1] > 1 else np.zeros(len(rest), dtype=bool)
         odds = likely.max(axis=1) - likely[np.arange(len(rest)), own]
         for j, i in enumerate(rest):
             if cut[i]:

@@ -70,7 +70,8 @@ def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "query_results").withColumn("answer_length", F.length("answer"))
-    return length_hazards(results, "exp_id", "answer_length").withColumnRenamed("source", "exp_id")
+    out = length_hazards(results, "exp_id", "answer_length").withColumnRenamed("source", "exp_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("hazard", "expected", "p_value", "excess")})
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +109,17 @@ QUERIES = {
         p9_found, p10_pages, p10_found,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "p7_hazards": """
+WITH counts AS (SELECT exp_id, length(answer) AS length, count(*) AS n FROM query_results WHERE answer IS NOT NULL GROUP BY 1, 2),
+around AS (SELECT *, sum(n) OVER (PARTITION BY exp_id ORDER BY length DESC ROWS UNBOUNDED PRECEDING) AS at_risk, sum(n) OVER w AS near, sum(n * length) OVER w AS near_signs,
+    coalesce(sum(n) OVER (PARTITION BY exp_id ORDER BY length RANGE BETWEEN 21 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS beyond, max(length) OVER (PARTITION BY exp_id) AS longest, greatest(length - 20, 0) AS first
+  FROM counts WINDOW w AS (PARTITION BY exp_id ORDER BY length RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING)),
+risks AS (SELECT *, near_signs - (first - 1) * near + (length + 20 - first + 1) * beyond - at_risk AS risk, least(length + 20, longest) - first AS others, near - n + 1 AS ended FROM around),
+tested AS (SELECT *, CASE WHEN risk > 0 THEN greatest(at_risk * ended / risk, ended / others) ELSE CAST(at_risk AS DOUBLE) END AS expected FROM risks),
+valued AS (SELECT *, CASE WHEN n > expected AND n >= 5 THEN exp(-(n * ln(n / expected) - n + expected)) ELSE 1.0 END AS p_value FROM tested),
+ranked AS (SELECT *, p_value <= 0.01 * row_number() OVER (PARTITION BY exp_id ORDER BY p_value, length) / count(*) OVER (PARTITION BY exp_id) AS passes FROM valued),
+decided AS (SELECT *, max(CASE WHEN passes THEN p_value END) OVER (PARTITION BY exp_id) AS bound FROM ranked)
+SELECT exp_id, CAST(length AS BIGINT) AS length, n, CAST(at_risk AS BIGINT) AS at_risk, round(n / at_risk, 6) AS hazard, round(expected, 6) AS expected, round(p_value, 6) AS p_value,
+  coalesce(p_value <= bound, false) AS significant, round(greatest(0, 1 - expected / n), 6) AS excess FROM decided""",
+}
