@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from wattloom.llm.grams import batch_codes, rolling_hashes, slices
 
 ORDERS, BITS = (1, 2, 3, 4), 16
+CODE = re.compile(r"\w*\d\w*")
 NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 def _letters(texts: Sequence[str]) -> list[str]:
-    return [NO_LETTER.sub(" ", t.casefold()).strip() for t in texts]
+    """Words in lower case; numbers, and codes that have digits in them, belong to no language."""
+    return [NO_LETTER.sub(" ", CODE.sub(" ", t.casefold())).strip() for t in texts]
 
 
 @dataclass
