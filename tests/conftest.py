@@ -8,9 +8,10 @@ from wattloom.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session("local[4]", "tests", 4, "4g")
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("spark")))
     s.conf.set("spark.sql.session.timeZone", "America/New_York")  # no operator may depend on it
     yield s
     s.stop()
