@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.grams import batch_codes, rolling_hashes, slices
 
 ORDERS, BITS = (1, 2, 3, 4), 16
-CODE = re.compile(r"\w*\d\w*")
+CODE = re.compile(r"\b[^\W\d]*\d\w*")
 NO_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -33,14 +33,15 @@ class LanguageModel:
         """(texts, languages); 0 for a text without letters. Even priors make differences the log posterior odds."""
         texts = [f" {t} " if t else "" for t in _letters(texts)]
         codes, ends = batch_codes(texts, max(ORDERS))
-        outside = codes == 2
+        hashes = rolling_hashes(codes, ORDERS, BITS)
+        score = self.log_p[0].take(hashes[0], axis=0)
+        for table, h in zip(self.log_p[1:], hashes[1:], strict=True):
+            score += table.take(h, axis=0)
+        score[codes == 2] = 0
         starts = np.r_[0, ends[:-1]]
-        out = np.zeros((len(texts), len(self.languages)))
-        for table, h in zip(self.log_p, rolling_hashes(codes, ORDERS, BITS), strict=True):
-            score = table[h]
-            score[outside] = 0
-            out += np.add.reduceat(score, starts, axis=0)
-        return out / len(ORDERS)
+        # by columns, which reduceat adds up far faster than rows
+        sums = [np.add.reduceat(np.ascontiguousarray(score[:, i]), starts) for i in range(len(self.languages))] if len(texts) else []
+        return np.stack(sums, axis=1).astype(float) / len(ORDERS) if sums else np.zeros((len(texts), len(self.languages)))
 
 
 def language_code(lang: Column | str) -> Column:
