@@ -1,4 +1,4 @@
-"""Joins of a large table with one that is unique by its key, whatever the size of either and however often a key occurs."""
+"""Joins of a large table with one that is unique by its key, whatever the size of either; and the spreading of small inputs."""
 
 from __future__ import annotations
 
@@ -28,3 +28,13 @@ def lookup_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], spread: C
     parts = side.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     salted = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(ways)).cast("int"))
     return salted.join(parts, [*keys, "_part"], how).drop("_part")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the session has cores, dealt out over these; other scans as they are.
+
+    For what costs far more by the row than its shuffle, such as work on texts in Python: a table of one small file would
+    else be one task. Rows and results don't change.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
