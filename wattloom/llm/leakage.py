@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from wattloom.llm.grams import slices
+from wattloom.operators.joins import spread
 from wattloom.session import checkpointed
 
 #: Signs that are no part of a word: markup tags and characters without width.
@@ -223,7 +224,7 @@ def leaked_items(
     weighed = passages.join(word_weights(passages), "passage")
     blocks = max(1, -(-(passages.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // block_bytes))
     shares = {f: (2.0 if s is None else s) for f, s in fields.items()}
-    docs = corpus.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.array_join(words_of(F.col(text)), " ").alias("words"))
+    docs = spread(corpus.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))).select("doc", F.array_join(words_of(F.col("text")), " ").alias("words"))
     schema = f"`{doc_id}` {doc_type}, `{item_id}` {item_type}, field string, longest int, covered double, words int"
 
     def found(block: int) -> DataFrame:

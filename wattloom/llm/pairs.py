@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.grams import slices
 from wattloom.llm.languages import LanguageModel
 from wattloom.llm.truncation import bare, with_cuts
+from wattloom.operators.joins import spread
 
 EMPTY, TRUNCATED, REFUSAL, COPY, OTHER_LANGUAGE = "empty", "truncated", "refusal", "copy", "other_language"
 
@@ -117,7 +118,7 @@ def pair_defects(
     none. The pairs aren't shuffled as long as the tables of limits and endings fit into every task; extra columns are ignored.
     """
     rows = df.select(F.col(id_col), F.col(source).alias("source"), F.col(question).alias("question"), F.col(answer).alias("answer"))
-    rows = with_cuts(rows, "answer", "source", id_col)
+    rows = with_cuts(spread(rows), "answer", "source", id_col)
     types = dict(df.dtypes)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

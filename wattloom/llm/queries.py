@@ -12,6 +12,7 @@ from wattloom.llm.quantiles import merge_sketches, percentiles, rank_errors, tai
 from wattloom.llm.spam import spam_pages
 from wattloom.llm.tokenizer import decoded, encoded
 from wattloom.llm.truncation import length_hazards
+from wattloom.operators.joins import spread
 from wattloom.sources.tables import table
 
 LEVELS = (0.5, 0.9, 0.95, 0.99)
@@ -75,12 +76,12 @@ def p7_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encoded(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "ids")
 
 
 def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's tokens and whether decoding them gives the text again."""
-    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = encoded(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     back = decoded(docs, "ids", "back")
     return back.select("doc_id", F.size("ids").alias("tokens"), (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
 

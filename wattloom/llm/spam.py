@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm.grams import slices
+from wattloom.operators.joins import spread
 
 #: Common function words of the corpus' languages, without those that are also markup or single letters.
 FUNCTION_WORDS = frozenset(
@@ -107,4 +108,4 @@ def spam_pages(
                 yield f.assign(**{id_col: part[id_col], "reason": pd.Series(reason).replace("", None), "spam": reason != ""})[[id_col, *FEATURES, "spam", "reason"]]
 
     columns = ", ".join(f"{c} double" for c in FEATURES)
-    return df.select(F.col(id_col), F.col(text).alias("text")).mapInPandas(judge, f"`{id_col}` {kind}, {columns}, spam boolean, reason string")
+    return spread(df.select(F.col(id_col), F.col(text).alias("text"))).mapInPandas(judge, f"`{id_col}` {kind}, {columns}, spam boolean, reason string")

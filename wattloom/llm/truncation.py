@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.llm.grams import batch_codes, rolling_hashes, slices
-from wattloom.operators.joins import lookup_join
+from wattloom.operators.joins import lookup_join, spread
 from wattloom.session import checkpointed
 
 #: Signs of the contexts of an ending. The start of a text is part of a context that is longer than the text.
@@ -163,7 +163,7 @@ def context_counts(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
                 context, seen, ends_ = added(*[np.concatenate(x) for x in zip(*found, strict=True)])
                 yield pd.DataFrame({"context": context, "seen": seen, "ends": ends_})
 
-    texts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    texts = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")))
     return texts.mapInPandas(count, "context bigint, seen bigint, ends bigint").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
 
 
