@@ -13,6 +13,7 @@ from wattloom.functions import text as tx
 from wattloom.operators import evaluation as ev
 from wattloom.operators import experiments as ex
 from wattloom.operators import retrieval as rt
+from wattloom.operators.joins import spread
 from wattloom.operators.temporal import null_if_nan
 from wattloom.plans import knowledge_queries as kq
 from wattloom.session import checkpointed
@@ -272,7 +273,7 @@ def _tagged_lines(prompt: str) -> Iterator[str]:
 
 def _experiment(spark: SparkSession, sf_dir: str, pipeline: str, mode: str) -> DataFrame:
     q = kq.questions_of(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("row_id"), "dataset", "granularity", F.lit("").alias("parent_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("row_id"), "dataset", "granularity", F.lit("").alias("parent_id"), "text"))
     variants = rt.reply_variants(kq.stand_in_expansion(F.col("text")))
     found = checkpointed(ex.retrieve(q, docs, pipeline, 5, rt.letter_vector, mode, variants))
     stage = None if pipeline == "dense" else ex.search(q, docs, "dense", 5, rt.letter_vector)

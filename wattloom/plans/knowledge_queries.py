@@ -9,6 +9,7 @@ from wattloom.functions import text as tx
 from wattloom.operators import documents as dc
 from wattloom.operators import retrieval as rt
 from wattloom.operators import temporal as tp
+from wattloom.operators.joins import spread
 from wattloom.operators.models import similarity_ratio
 from wattloom.plans import temporal_queries as tq
 from wattloom.plans.temporal_queries import days
@@ -30,7 +31,7 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"))
 
 
 def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
